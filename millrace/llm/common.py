@@ -89,12 +89,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _segment_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: White space and ASCII punctuation, for words without it.
+PUNCTUATED = _SPACE.copy()
+PUNCTUATED[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def _segment_words(a: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of an array of bytes."""
     a = _LOWER[a]
     word = np.empty(len(a) + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(_SPACE[a], out=word[1:-1])
+    np.logical_not(breaks[a], out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -108,15 +113,15 @@ def _segment_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base[start[1:]] = np.diff(start)
     at = (at - np.cumsum(base)) & (_POW - 1)
     x = _BYTE[a] * _POSITION[at]
-    x[_SPACE[a]] = 0
+    x[breaks[a]] = 0
     h = np.add.reduceat(x, start)
     return start, end, mix(h + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: for each word its text's index, hash, and start and end byte in that text.
 
-    Words are maximal runs without ASCII white space, compared with A-Z in lower case. Works through
+    Words are maximal runs of bytes that are not in breaks, compared with A-Z in lower case. Works through
     segments that end at white space, so that temporary arrays stay small however long a text is.
     """
     joined = b"\n".join(texts) + b"\n"
@@ -129,7 +134,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         while high < len(whole) and not _SPACE[whole[high - 1]]:
             ahead = np.flatnonzero(_SPACE[whole[high : high + 65536]])
             high = high + int(ahead[0]) + 1 if len(ahead) else min(high + 65536, len(whole))
-        s, e, h = _segment_words(whole[low:high])
+        s, e, h = _segment_words(whole[low:high], breaks)
         starts.append(s + low)
         ends.append(e + low)
         hashes.append(h)

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, common
+from millrace.llm import bpe, common, quality_crf, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return toxicity.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return quality_crf.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +22,5 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(common.table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
-QUERIES = {"op9_bpe_roundtrip": op9_bpe_roundtrip}
+QUERIES = {"op1_toxicity": op1_toxicity, "op8_quality": op8_quality, "op9_bpe_roundtrip": op9_bpe_roundtrip}
 ORACLES: dict[str, str] = {}
