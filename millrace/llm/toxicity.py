@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 from millrace.llm.quality_crf import label_sample
 
-TRAIN_DOCUMENTS = 5000
+TRAIN_DOCUMENTS = 4000
 MARKERS = 256
 CATEGORIES = 4
 FOLDS = 5
@@ -100,7 +100,7 @@ def latent_categories(x: np.ndarray, k: int = CATEGORIES) -> np.ndarray:
     return group
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, steps: int = 120) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01, steps: int = 90) -> np.ndarray:
     """Weights and intercept of an L2 logistic regression, by accelerated gradient steps."""
     z = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     penal = np.full(z.shape[1], l2 / np.sqrt(max(len(x), 1)))
@@ -132,7 +132,7 @@ def fit_chain(x: np.ndarray, targets: list[tuple[str, np.ndarray]], folds: int =
         out = np.zeros(len(x))
         for k in range(folds):
             if (fold == k).any():
-                out[fold == k] = _apply(_logistic(seen[fold != k], y[fold != k], steps=60), seen[fold == k])
+                out[fold == k] = _apply(_logistic(seen[fold != k], y[fold != k], steps=45), seen[fold == k])
         seen = np.concatenate([seen, out[:, None].astype(np.float32)], axis=1)
     return chain
 
