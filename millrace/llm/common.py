@@ -179,6 +179,32 @@ def binary(column: pa.Array) -> list:
     return column.to_pylist()
 
 
+def map_texts(docs: DataFrame, score, columns: str, names: list[str]) -> DataFrame:
+    """(doc_id, columns...) of every row of docs: score(texts) gives the arrays of the columns."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(zip(batch.column(0).to_pylist(), binary(batch.column(1))), lambda r: len(r[1] or b"")):
+                found = score([r[1] or b"" for r in part])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), *map(pa.array, found)], ["doc_id", *names])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, {columns}")
+
+
+def filter_texts(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, all columns, whose texts keep(texts) marks; null texts count as empty."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            low = 0
+            for part in chunks([t or b"" for t in binary(batch.column(text))], len):
+                yield batch.slice(low, len(part)).filter(pa.array(np.asarray(keep(part), bool)))
+                low += len(part)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # Connected components --------------------------------------------------------------------------------
 
 

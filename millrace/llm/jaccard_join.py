@@ -446,3 +446,17 @@ def components(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = common.materialize(named.join(lowest, "component").select("node", "component_id"), "named")
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of the documents with the least id of their component.
+
+    Rows that repeat an id are one document; one of them stays (any, if they differ). Rows without an id
+    stay.
+    """
+    found = components(docs).where("doc_id is null or doc_id = component_id").select("doc_id")
+    kept = common.materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("times > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))

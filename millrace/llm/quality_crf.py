@@ -257,27 +257,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> d
     return fit(feats, np.array([r[1] for r in rows], int))
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., score, good_share, bad_lines) of every row; whole texts."""
-    schema = docs.select("doc_id", *keep).schema
-    names = [*schema.names, "score", "good_share", "bad_lines"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", score double, good_share double, bad_lines long"
-    at = 0 if "text" not in keep else 1 + keep.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in common.binary(batch.column(at or len(schema)))]
-            low = 0
-            for part in common.chunks(texts, len):
-                s, q, bad = score_texts(model, part)
-                cut = batch.slice(low, len(part))
-                low += len(part)
-                yield pa.RecordBatch.from_arrays([*(cut.column(k) for k in range(len(schema))), pa.array(s), pa.array(q), pa.array(bad, pa.int64())], names)
-
-    return docs.select("doc_id", *keep, *([] if at else ["text"])).mapInArrow(run, out)
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold."""
+    model = train(docs, labels)
+    return common.filter_texts(docs, lambda texts: score_texts(model, texts)[0] >= THRESHOLD)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, good_share, bad_lines) of every row of docs."""
-    out = score(docs, train(docs, labels))
+    model = train(docs, labels)
+    out = common.map_texts(docs, lambda texts: score_texts(model, texts), "score double, good_share double, bad_lines long", ["score", "good_share", "bad_lines"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_share", "bad_lines")

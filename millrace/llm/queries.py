@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, common, jaccard_join, quality_crf, toxicity
+from millrace.llm import bpe, common, decontaminate, jaccard_join, quality_crf, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(common.table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return decontaminate.contaminated_pairs(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     return quality_crf.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
@@ -27,5 +32,5 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(common.table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_jaccard_join": op5_jaccard_join, "op8_quality": op8_quality, "op9_bpe_roundtrip": op9_bpe_roundtrip}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_bpe_roundtrip": op9_bpe_roundtrip}
 ORACLES: dict[str, str] = {}

@@ -193,27 +193,19 @@ def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     return run_chain(model["chain"], counts(texts, model["markers"]))
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., toxic_probability, category_probabilities) of every row; whole texts."""
-    schema = docs.select("doc_id", *keep).schema
-    names = [*schema.names, "toxic_probability", "category_probabilities"]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", toxic_probability double, category_probabilities array<double>"
-    at = 0 if "text" not in keep else 1 + keep.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in common.binary(batch.column(at or len(schema)))]
-            low = 0
-            for part in common.chunks(texts, len):
-                p = score_texts(model, part)
-                cut = batch.slice(low, len(part))
-                low += len(part)
-                yield pa.RecordBatch.from_arrays([*(cut.column(k) for k in range(len(schema))), pa.array(p[:, -1]), pa.array(list(p[:, :-1]), pa.list_(pa.float64()))], names)
-
-    return docs.select("doc_id", *keep, *([] if at else ["text"])).mapInArrow(run, out)
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are not toxic."""
+    model = train(docs, labels)
+    return common.filter_texts(docs, lambda texts: score_texts(model, texts)[:, -1] < THRESHOLD)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic, toxic_probability, category_probabilities) of every row of docs."""
-    out = score(docs, train(docs, labels))
+    model = train(docs, labels)
+
+    def run(texts):
+        p = score_texts(model, texts)
+        return p[:, -1], list(p[:, :-1])
+
+    out = common.map_texts(docs, run, "toxic_probability double, category_probabilities array<double>", ["toxic_probability", "category_probabilities"])
     return out.select("doc_id", (F.col("toxic_probability") >= THRESHOLD).cast("int").alias("toxic"), "toxic_probability", "category_probabilities")
