@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, common, decontaminate, jaccard_join, quality_crf, toxicity
+from millrace.llm import bpe, common, decontaminate, embedding_dedup, jaccard_join, licenses, quality_crf, token_counts, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark, 2048)
+    return embedding_dedup.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return token_counts.document_counts(common.table(spark, sf_dir, "documents"), bpe.default_vocabulary())
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "warc")
+    warc.write(common.table(spark, sf_dir, "pages"), path)
+    return warc.salvage(spark, path).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     return jaccard_join.components(common.table(spark, sf_dir, "documents"))
@@ -27,10 +43,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     return bpe.roundtrip_digests(common.table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_jaccard_join": op5_jaccard_join, "op6_decontamination": op6_decontamination, "op8_quality": op8_quality, "op9_bpe_roundtrip": op9_bpe_roundtrip}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_warc, op5_jaccard_join, op6_decontamination, op8_quality, op9_bpe_roundtrip, op10_licenses)}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op10_licenses": licenses.ORACLE}
