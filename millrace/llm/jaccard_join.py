@@ -96,6 +96,25 @@ def class_table(docs: DataFrame) -> DataFrame:
 _BLOB = "key long, block long, kind int, a binary, b binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array byte by byte, all first bytes, then all second ones: high bytes of small numbers compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack(g: np.ndarray) -> bytes:
+    """Ascending hashes as differences."""
+    return _planes(np.diff(g, prepend=np.zeros(1, np.uint64)))
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+
+
 class _Block:
     """Classes of some documents, until they are enough to be sent off."""
 
@@ -124,15 +143,14 @@ class _Block:
         count = np.diff(np.append(first, len(g)))
         many = np.repeat(count > 1, count)
         block = int(common.mix(np.array([np.bitwise_xor.reduce(common.mix(node.view(np.uint64)))], np.uint64)).view(np.int64)[0])
-        local = np.argsort(at[many], kind="stable")
         # kind 0: what goes straight back to the block: its classes, and shingles that it repeats itself
-        out = [(block, block, 0, np.stack([node, n]).tobytes(), b""), (block, block, 1, g[many][local].tobytes(), at[many][local].tobytes())]
+        out = [(block, block, 0, np.stack([node, n]).tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]))]
         uniq, owner = g[first], np.where(count > 1, -1, at[first]).astype(np.int32)
         cut = np.searchsorted((uniq >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), np.arange(self.buckets + 1))
         for k in range(self.buckets):
             lo, hi = cut[k], cut[k + 1]
             if lo < hi:
-                out.append((k, block, 2, uniq[lo:hi].tobytes(), owner[lo:hi].tobytes()))
+                out.append((k, block, 2, pack(uniq[lo:hi]), _planes(owner[lo:hi] + np.int32(1))))
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["key", "block", "kind", "a", "b"])
 
@@ -143,8 +161,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = [(b, k, a, o) for b, k, a, o in held if k < 2]
     held = [x for x in held if x[1] == 2]
     if held:
-        g = np.concatenate([np.frombuffer(a, np.uint64) for _, _, a, _ in held])
-        owner = np.concatenate([np.frombuffer(o, np.int32) for _, _, _, o in held])
+        g = np.concatenate([unpack(a) for _, _, a, _ in held])
+        owner = np.concatenate([_unplanes(o, np.int32) for _, _, _, o in held]) - np.int32(1)
         src = np.repeat(np.arange(len(held)), [len(a) // 8 for _, _, a, _ in held])
         order = np.argsort(g, kind="stable")
         s = g[order]
@@ -160,7 +178,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (b, _, _, _) in enumerate(held):
             p = pick[cut[k] : cut[k + 1]]
             if len(p):
-                out.append((b, 1, g[p].tobytes(), owner[p].tobytes()))
+                out.append((b, 1, pack(g[p]), _planes(owner[p])))
     for low in range(0, len(out), 64):
         cols = list(zip(*out[low : low + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "a", "b"])
@@ -171,8 +189,8 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(k, a, b) for t in batches for k, a, b in zip(t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist())]
     head = np.frombuffer(next(a for k, a, _ in rows if k == 0), np.int64).reshape(2, -1)
     node, n = head
-    g = np.concatenate([np.frombuffer(a, np.uint64) for k, a, _ in rows if k == 1])
-    at = np.concatenate([np.frombuffer(b, np.int32) for k, _, b in rows if k == 1])
+    g = np.concatenate([unpack(a) for k, a, _ in rows if k == 1])
+    at = np.concatenate([_unplanes(b, np.int32) for k, _, b in rows if k == 1])
     ok = 4 * np.bincount(at, minlength=len(node)) >= 3 * n
     keep = ok[at]
     g, at = g[keep], at[keep]
