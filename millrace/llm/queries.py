@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, common, decontaminate, embedding_dedup, jaccard_join, licenses, quality_crf, token_counts, toxicity, warc
+from millrace.llm import bpe, common, decontaminate, embedding_dedup, html_extract, jaccard_join, licenses, quality_crf, token_counts, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    return html_extract.main_texts(common.table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     return quality_crf.predictions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
@@ -52,5 +57,5 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(common.table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_warc, op5_jaccard_join, op6_decontamination, op8_quality, op9_bpe_roundtrip, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_token_counts, op4_warc, op5_jaccard_join, op6_decontamination, op7_html_text, op8_quality, op9_bpe_roundtrip, op10_licenses)}
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op10_licenses": licenses.ORACLE}
