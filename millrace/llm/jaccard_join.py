@@ -36,7 +36,7 @@ from millrace.llm import common
 
 WORDS = 5
 #: Postings that a block of the shared-shingle step holds at once.
-BLOCK = 1 << 21
+BLOCK = 3 << 18
 #: Members beyond which a coarse group is searched in blocks; rounds of hubs before that.
 LARGE = 1500
 HUB_ROUNDS = 5
