@@ -40,7 +40,7 @@ BLOCK = 3 << 18
 #: Members beyond which a coarse group is searched in blocks; rounds of hubs before that.
 LARGE = 1500
 HUB_ROUNDS = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 19
 #: Share of DivideSkip's long lists: T / (MU * log2(longest list) + 1).
 MU = 0.5
 
@@ -260,9 +260,9 @@ def _sketch(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
 
     counted = sets.select("toks").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
+    found = counted.toArrow()  # at most `slots` rows
     out = np.zeros(slots, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
