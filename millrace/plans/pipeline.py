@@ -195,20 +195,22 @@ class RowPipeline(Pipeline):
         shared = Context(**{k: v for k, v in ctx.items() if k not in ("errors", "steps")})
         names = schema.fieldNames()
 
+        calls = [(s.name, s.f, s.column if isinstance(s, AppendColumn) else None) for s in steps]  # no Columns go along
+
         def apply(row: Row) -> tuple:
             values = row.asDict()
             values[ERRORS] = list(values.get(ERRORS) or [])
-            for s in steps:
+            for name, f, column in calls:
                 now = Row(**values)
                 try:
-                    if isinstance(s, AppendColumn):
-                        values[s.column] = s.f(now, shared)
+                    if column:
+                        values[column] = f(now, shared)
                     else:
-                        values.update(s.f(now, shared).asDict())
+                        values.update(f(now, shared).asDict())
                 except Exception as e:  # noqa: BLE001
-                    values[ERRORS].append(f"{s.name}: {e}")
-                    if isinstance(s, AppendColumn):
-                        values[s.column] = None
+                    values[ERRORS].append(f"{name}: {e}")
+                    if column:
+                        values[column] = None
             return tuple(values.get(n) for n in names)
 
         return df.sparkSession.createDataFrame(df.rdd.map(apply), schema)

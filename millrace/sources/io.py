@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,6 @@ def read_sample(path: str, n: int, encoding: str = "utf-8") -> str:
 
 def read_ebcdic(spark: SparkSession, path: str, codepage: str = "cp500", line_end: str = "\n") -> DataFrame:
     """(path, line_no, line) of EBCDIC files at any Hadoop URI; malformed bytes are an error."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: bytes(b).decode(codepage, "strict").replace("\x85", "\n"))
