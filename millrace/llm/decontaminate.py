@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-1. A first pass counts, over all documents, how many hold each word n-gram of the benchmark items. The
-   rarest half of each item's n-grams (at least `LEAST_SEEDS`, all if it has fewer) are its seeds. Rarity
-   is relative to the item, so that a passage that leaked everywhere keeps its seeds.
+1. A first pass counts, over all documents, how many hold each word n-gram of the benchmark items. Of those
+   that occur, an item's seeds are the rare ones: up to `COMMON` times its median count, and its `LEAST_SEEDS`
+   rarest in any case. Rarity is relative to the item, so a passage that leaked everywhere keeps its seeds.
 2. A second pass finds the seeds in whole texts. Every hit predicts where the item would begin; hits of the
    same stretch give one window of about three item lengths.
 3. Item and window are aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1). The score over
@@ -30,6 +30,7 @@ from millrace.llm import common
 
 GRAM = 3
 LEAST_SEEDS = 8
+COMMON = 4
 THRESHOLD = 0.5
 SLICE_WORDS = 400_000
 MATCH, OTHER, GAP = 2, -1, -1
@@ -179,9 +180,14 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
             total[key] = n
         df = total[np.searchsorted(every.key, items.gram)]
         order = np.lexsort((items.at, df, items.item))
-        rank = np.arange(len(order)) - np.searchsorted(items.item[order], items.item[order])
-        size = np.bincount(items.item, minlength=len(items.id))[items.item[order]]
-        items.keep(np.sort(order[rank < np.maximum(LEAST_SEEDS, (size + 1) // 2)]))
+        order = order[df[order] > 0]  # n-grams that no document holds find nothing
+        item, count = items.item[order], df[order]
+        first, n = np.unique(item, return_index=True, return_counts=True)[1:]
+        rank = np.arange(len(order)) - np.repeat(first, n)
+        median = np.repeat(count[first + (n - 1) // 2], n)
+        items.keep(np.sort(order[(rank < LEAST_SEEDS) | (count <= COMMON * median)]))
+        if not len(items.gram):
+            continue
         out.append(Finder(items))
     return out
 

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2048
 _END = b"\r\n\r\n"
-_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Header fields that a record states once; a second one is another record's.
+_ONCE = frozenset({"warc-type", "warc-record-id", "content-length", "warc-payload-digest"})
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -92,7 +94,10 @@ def _headers(raw: bytes) -> dict[str, str]:
         name, colon, value = row.partition(b":")
         if not colon:
             raise Broken("header line without a colon")
-        out[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("latin-1").strip().lower()
+        if name in _ONCE and name in out:
+            raise Broken(f"{name} stated twice")
+        out[name] = value.decode("utf-8", "replace").strip()
     return out
 
 
