@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,7 @@ class _Block:
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.size = buckets, [], 0
+        self.name = TaskContext.get().partitionId() << 32  # a retried task gives its blocks the same names
 
     def add(self, node: np.ndarray, n: np.ndarray, g: np.ndarray, held: np.ndarray) -> None:
         """held: how many entries of g belong to each node; n: sizes of the full sets."""
@@ -142,7 +144,7 @@ class _Block:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(g)))
         many = np.repeat(count > 1, count)
-        block = int(common.mix(np.array([np.bitwise_xor.reduce(common.mix(node.view(np.uint64)))], np.uint64)).view(np.int64)[0])
+        block, self.name = self.name, self.name + 1
         # kind 0: what goes straight back to the block: its classes, and shingles that it repeats itself
         out = [(block, block, 0, np.stack([node, n]).tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]))]
         uniq, owner = g[first], np.where(count > 1, -1, at[first]).astype(np.int32)
