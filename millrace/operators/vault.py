@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.config import AppConfig, TableConfig
 from millrace.functions.hashing import change_hash, entity_key
 from millrace.model import OPEN_END, PROCESS_LOG
 
@@ -146,7 +147,7 @@ def latest(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return history.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def load_counts(batch: DataFrame) -> Column:
+def load_counts() -> Column:
     """Counters of a batch: one pass over its record types."""
     return F.struct(*(F.count(F.when(F.col("rectype") == k, 1)).alias(n) for k, n in (("I", "inserts_count"), ("U", "updates_count"), ("D", "deletes_count"))))
 
@@ -197,7 +198,7 @@ class Store:
         if change_tables:
             for kind, name in (("I", "new"), ("U", "changed"), ("D", "removed")):
                 self.write_changes(batch.where(F.col("rectype") == kind), f"{table}/{name}.parquet", process)
-        n = batch.agg(load_counts(batch).alias("c")).first()["c"]
+        n = batch.agg(load_counts().alias("c")).first()["c"]
         row = (process.process_id, process.process_type, process.user_id, read_count, read_count - distinct_count, n["inserts_count"], n["updates_count"], n["deletes_count"], process.load_ts, process.load_ts.date())
         log = self.spark.createDataFrame([row], PROCESS_LOG)
         log.write.mode("append").parquet(f"{self.base}/process_log.parquet")
@@ -269,13 +270,19 @@ class Loader:
         rows = prepare(df.select(*dict.fromkeys(keep)), ids, Batch(), process, extra, used).drop(*used)
         return self._load(table or f"{entity_type.lower()}_mapping", df, rows, list(ids), process, is_delta, overwrite, delete_indicator, False)
 
-    def load_all(self, config: dict, process: Process) -> list[DataFrame]:
-        """Hubs, satellites, links and mappings of a configuration, in that order."""
-        out = []
-        for kind in ("hubs", "satellites", "links", "mappings"):
-            for spec in config.get(kind, ()):
-                spec = dict(spec)
-                source = spec.pop("source")
-                df = self.store.spark.read.load(source) if "/" in source else self.store.spark.table(source)
-                out.append(getattr(self, kind[:-1])(df, process, **spec))
-        return out
+    def load_all(self, config: AppConfig, process: Process) -> list[DataFrame]:
+        """Hubs, satellites, links and mappings of a configuration, in that order; their process-log rows."""
+        return [self.load(t, process) for kind in ("hub", "satellite", "link", "mapping") for t in config.tables if t.kind == kind]
+
+    def load(self, t: TableConfig, process: Process) -> DataFrame:
+        """One configured table; sources with a slash are paths, others tables."""
+        df = self.store.spark.read.load(t.source) if "/" in t.source else self.store.spark.table(t.source)
+        how = {"is_delta": t.is_delta, "overwrite": t.overwrite, "delete_indicator": t.delete_indicator, "table": t.table_name}
+        batch = Batch(projection=t.projection, renames=t.new_names, valid_start=t.valid_start_time, valid_end=t.valid_end_time)
+        if t.kind == "hub":
+            return self.hub(df, process, t.entity_type, t.id_fields, t.id_type, batch=Batch(renames=batch.renames, valid_start=batch.valid_start, valid_end=batch.valid_end), **how)
+        if t.kind == "satellite":
+            return self.satellite(df, process, how.pop("table"), t.id_fields, t.id_type, batch=batch, partition_by=t.partition_keys, change_tables=t.write_change_tables, **how)
+        if t.kind == "link":
+            return self.link(df, process, *((s["entity_type"], s["id_fields"], s["id_type"]) for s in (t.src, t.dst)), **how)
+        return self.mapping(df, process, t.entity_type, *((s["id_fields"], s["id_type"]) for s in (t.src, t.dst)), t.confidence, **how)

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.config import AppConfig
 from millrace.operators import vault
 
 PROCESS = vault.Process(dt.datetime(2024, 1, 10), "crm", "load", "p1", "me")
@@ -114,3 +115,19 @@ def test_append_and_overwrite_agree(spark, loads):
         assert current.count() == current.select("entity_id").distinct().count()
         assert history.groupBy("entity_id").agg((F.max("version") == F.count_distinct("version")).alias("ok")).where("not ok").count() == 0
     assert states[False] == states[True] == {str(a): b for a, b in loads[-1].items()}
+
+
+def test_load_all(spark, tmp_path):
+    customers(spark, 1, 4).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("1", "a@x")], "cust_id string, email string").write.parquet(str(tmp_path / "map"))
+    side = {"src-entity-type": "customer", "src-id-fields": ["cust_id"], "src-id-type": "Customer Number", "dst-entity-type": "email", "dst-id-fields": ["email"], "dst-id-type": "email"}
+    config = AppConfig.from_dict({"data": {
+        "mappings": [{"source": str(tmp_path / "map"), "entity-type": "customer", "confidence": 0.7, **side}],
+        "links": [{"source": str(tmp_path / "map"), **side}],
+        "satellites": [{"source": str(tmp_path / "in"), "table-name": "demo_sat", "id-fields": ["cust_id"], "id-type": "Customer Number", "projection": ["cust_id", "age25to29"], "new-names": {"age25to29": "age_25_29"}}],
+        "hubs": [{"source": str(tmp_path / "in"), "entity-type": "customer", "id-fields": ["cust_id"], "id-type": "Customer Number", "new-names": {"cust_id": "customer_id"}}],
+    }})
+    store = vault.Store(spark, str(tmp_path / "vault"))
+    logs = vault.Loader(store).load_all(config, PROCESS)
+    assert [r.first()["inserts_count"] for r in logs] == [3, 3, 1, 1]
+    assert "age_25_29" in store.read("demo_sat/current.parquet").columns and store.read("customer_mapping/current.parquet").first()["confidence"] == 0.7
