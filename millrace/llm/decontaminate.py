@@ -156,9 +156,8 @@ def _items(rows: list[tuple[int, bytes]]) -> Items:
 _PLAIN = bytes(0x20 if common.PUNCTUATED[b] else b for b in range(256))
 
 
-def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
+def finders(docs: DataFrame, benchmark: DataFrame) -> Iterator[Finder]:
     """One finder with seeds for each slice of the benchmark; counts n-grams over all of docs."""
-    out = []
     for rows in _slices(benchmark):
         items = _items(rows)
         if not len(items.gram):
@@ -188,30 +187,38 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> list[Finder]:
         items.keep(np.sort(order[(rank < LEAST_SEEDS) | (count <= COMMON * median)]))
         if not len(items.gram):
             continue
-        out.append(Finder(items))
-    return out
+        yield Finder(items)
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, seed_hits, end_word) for each document and item that it holds a copy of."""
-    found = docs.sparkSession.sparkContext.broadcast(finders(docs, benchmark))
-
-    def run(batches):
-        for batch in batches:
-            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1))), lambda r: len(r[1] or b"")):
-                out = [(part[d][0], f.items.id[k], s, n, e) for f in found.value for d, k, s, n, e in contaminations(f, [r[1] or b"" for r in part])]
-                c = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "seed_hits", "end_word"])
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    schema = "doc_id long, item_id long, similarity double, seed_hits long, end_word long"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for finder in finders(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(finder)  # bounded by SLICE_WORDS
+
+        def run(batches, shared=shared):
+            ids = shared.value.items.id
+            for batch in batches:
+                for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1))), lambda r: len(r[1] or b"")):
+                    found = contaminations(shared.value, [r[1] or b"" for r in part])
+                    c = list(zip(*((part[d][0], ids[k], s, n, e) for d, k, s, n, e in found))) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "seed_hits", "end_word"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, seed_hits long, end_word long")
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no copy of an item."""
-    found = docs.sparkSession.sparkContext.broadcast(finders(docs, benchmark))
+    out = docs
+    for finder in finders(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(finder)  # bounded by SLICE_WORDS
 
-    def keep(texts):
-        bad = {d for f in found.value for d, *_ in contaminations(f, texts)}
-        return [k not in bad for k in range(len(texts))]
+        def keep(texts, shared=shared):
+            bad = {d for d, *_ in contaminations(shared.value, texts)}
+            return [k not in bad for k in range(len(texts))]
 
-    return common.filter_texts(docs, keep)
+        out = common.filter_texts(out, keep)
+    return out

@@ -150,13 +150,13 @@ def merge(a: Node, b: Node) -> Node:
 
 
 def fold(items: list[Node]) -> list[Node]:
-    """Equal neighbours, and runs of pairs A B A B, become repeated groups (the pair's members each repeat)."""
+    """Equal neighbours become a repeated group; of A B A each of the two becomes one."""
     out: list[Node] = []
     for x in items:
         if out and out[-1].key == x.key:
             out[-1] = merge(out[-1], x)
             out[-1].plus = True
-        elif len(out) >= 2 and out[-2].key == x.key and (out[-1].plus or len(out) < 3 or out[-2].plus or out[-1].key != x.key):
+        elif len(out) >= 2 and out[-2].key == x.key:
             out[-2] = merge(out[-2], x)
             out[-2].plus = True
             out[-1].plus = True
