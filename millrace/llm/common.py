@@ -243,6 +243,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent: found by one job."""
+    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    deep = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return not many.union(deep).limit(1).count()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b: long); component is the least node reachable.
 
@@ -254,24 +261,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     if edges.columns != ["a", "b"]:
         raise ValueError("edges need the columns a and b")
     clean = edges.where("a is not null and b is not null and a <> b")
-    now = materialize(clean.mapInArrow(_contract, "a long, b long").distinct(), "cc")
+    now = materialize(clean.mapInArrow(_contract, "a long, b long"), "cc")
     for _ in range(rounds):
+        if _settled(now):
+            break
         both = now.union(now.select("b", "a")).toDF("a", "b")
         # large star: larger neighbours of a node point to the least of its neighbourhood
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours and the node itself point to the least of them
-        down = large.where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = materialize(small, "cc")
-        # done when every node has one parent and no parent has a parent
-        many = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-        deep = new.join(new.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
         discard(now)
         now = new
-        if not many and not deep:
-            break
     else:
         raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -407,7 +407,7 @@ def _hub_links(batches):
                 hub = hub_node, np.frombuffer(htoks, np.uint64)
             g = np.frombuffer(toks, np.uint64)
             at = np.minimum(np.searchsorted(hub[1], g), len(hub[1]) - 1)
-            if node != hub_node and 7 * int((hub[1][at] == g).sum()) >= 3 * (n + hn):
+            if node == hub_node or 7 * int((hub[1][at] == g).sum()) >= 3 * (n + hn):
                 out.append((grp, node, hub_node))
         cols = list(zip(*out)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["grp", "a", "b"])
@@ -415,18 +415,22 @@ def _hub_links(batches):
 
 def _large_links(member: DataFrame) -> DataFrame:
     """Links within groups too large for one task; member: (grp, node, n, toks, size)."""
-    links = left = None
-    for k in range(HUB_ROUNDS):
-        pool = member if left is None else member.join(left, ["grp", "node"], "left_semi")
+    links = None
+    for _ in range(HUB_ROUNDS):
+        pool = member
+        if links is not None:
+            met = links.select("grp", F.explode(F.array("a", "b")).alias("node"))
+            pool = member.join(met, ["grp", "node"], "left_anti")
         hub = pool.groupBy("grp").agg(F.max(F.struct("n", "node", "toks")).alias("h")).select("grp", F.col("h.n").alias("hn"), F.col("h.node").alias("hub"), F.col("h.toks").alias("ht"))
+        # a hub that links with nobody still counts as met, by a link with itself
         found = common.materialize(member.select("grp", "node", "n", "toks").join(hub, "grp").select("grp", "node", "n", "toks", "hn", "hub", "ht").mapInArrow(_hub_links, "grp long, a long, b long"), "hub")
+        if not found.limit(1).count():
+            break
         links = found if links is None else links.unionByName(found)
-        parts = common.connected_components(links.select("a", "b"))
-        where = member.select("grp", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        most = where.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
-        left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node"), "left")
-        if not left.limit(1).count():
-            return links.select("a", "b")
+    parts = common.connected_components(links.select("a", "b"))
+    where = member.select("grp", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = where.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
+    left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node"), "left")
     blocks = F.ceil(F.col("size") / F.lit(LARGE)).cast("int")
     index = member.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     ask = member.join(left, ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
