@@ -56,13 +56,13 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat_ws(":", F.col("digest"), "page_id", "url").cast("binary")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.concat_ws(":", "page_id", F.substring("digest", 1, 12)), F.lit(">"))),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"\s+", "%20")),
         F.when(F.col("page_id").isNotNull(), line("WARC-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To-Page", F.col("target").cast("string")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        F.lit("Content-Type: application/http\r\n"),
         line("Content-Length", size.cast("string")),
         F.lit("\r\n"),
     )
