@@ -14,9 +14,9 @@ STAGE = T.StructType().add("id", "string").add("name", "string").add("journey",
 TASK = T.StructType().add("id", "string").add("name", "string").add("stages", T.ArrayType(STAGE))
 
 EVENT = (
-    T.StructType().add("entity", "string").add("event_type", "string").add("ts", "timestamp").add("namespace", "string").add("session", "int").add("task", TASK)
+    T.StructType().add("entity", "string").add("event_type", "string").add("ts", "timestamp").add("namespace", "string").add("session", "integer").add("task", TASK)
     .add("value", "string").add("properties", "string").add("start_time", "timestamp").add("end_time", "timestamp").add("source", "string").add("process_type", "string")
-    .add("process_id", "string").add("process_date", "timestamp").add("user_id", "string").add("rectype", "string").add("version", "int")
+    .add("process_id", "string").add("process_date", "timestamp").add("user_id", "string").add("rectype", "string").add("version", "integer")
 )
 FACT = T.StructType([T.StructField("attribute" if f.name == "event_type" else f.name, f.dataType) for f in EVENT if f.name not in ("session", "task")])
 PROCESS_LOG = (
