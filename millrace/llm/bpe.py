@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from millrace.llm import common
 
 #: Words whose ids a Python worker remembers, in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 
 def default_vocabulary() -> str:
@@ -191,7 +191,7 @@ class Encoder:
                 if not ok:
                     continue
             last[end], size[end], done = token, length, end
-        if len(pairs) > 400_000:
+        if len(pairs) > 200_000:
             pairs.clear()
         ids, at = [], n
         while at:

@@ -184,6 +184,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for low in range(0, len(out), 64):
         cols = list(zip(*out[low : low + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "a", "b"])
+    common.release()
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +207,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(node[part]), pa.array(n[part]), pa.array([g[cut[low + k] : cut[low + k + 1]].tobytes() for k in range(len(part))], pa.binary())],
             ["node", "n", "toks"],
         )
+    common.release()
 
 
 _SETS = "node long, n long, toks binary"
