@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-1. A first pass counts, over all documents, how many hold each word n-gram of the benchmark items. Of those
-   that occur, an item's seeds are the rare ones: up to `COMMON` times its median count, and its `LEAST_SEEDS`
-   rarest in any case. Rarity is relative to the item, so a passage that leaked everywhere keeps its seeds.
+1. A first pass finds which word n-grams of the benchmark items occur in the documents. Every one of them is a
+   seed, however common: edited copies of a passage that leaked everywhere may hold common ones only.
 2. A second pass finds the seeds in whole texts. Every hit predicts where the item would begin; hits of the
-   same stretch give one window of about three item lengths.
+   same stretch give one window of about three item lengths. Windows that share too few words with the item
+   to reach the threshold in any order are left out: a bound on the score, so no copy is lost by it.
 3. Item and window are aligned word by word (Smith-Waterman: match 2, mismatch -1, gap -1). The score over
    that of a perfect copy is the similarity; from `THRESHOLD` on the document is contaminated. Copies with
    words replaced, dropped or inserted keep most of the score.
@@ -24,18 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from millrace.llm import common
 
 GRAM = 3
-LEAST_SEEDS = 8
-COMMON = 4
 THRESHOLD = 0.5
 SLICE_WORDS = 400_000
+#: Seed places and window words that are held at once.
+BLOCK = 1 << 19
 MATCH, OTHER, GAP = 2, -1, -1
 
 
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hash of each word together with its item."""
+    return common.mix(words ^ common.mix(item.astype(np.uint64) + np.uint64(1)))
+
+
 class Items:
     """Benchmark items of a slice with their n-grams."""
 
@@ -52,6 +56,8 @@ class Items:
             at.append(np.arange(len(g)))
         self.gram, self.item, self.at = np.concatenate(gram), np.concatenate(item), np.concatenate(at)
         self.short = sorted({len(w) for w in self.words if 0 < len(w) < GRAM})
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.word, self.times = np.unique(_of_item(h, doc), return_counts=True)
 
     def keep(self, seeds: np.ndarray) -> None:
         """Leaves the n-grams at the given places only."""
@@ -69,6 +75,8 @@ class Finder:
         self.first = np.append(first, len(self.sorted))
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.word_sieve = np.zeros(1 << 22, bool)
+        self.word_sieve[(items.word & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def hits(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word position and index of the key of every n-gram of the texts that is one of the items'."""
@@ -118,30 +126,64 @@ def contaminations(finder: Finder, texts: list[bytes]) -> list[tuple[int, int, f
     at, key = finder.hits(doc, h)
     if not len(at):
         return []
+    by_place = np.argsort(at, kind="stable")
+    at, key = at[by_place], key[by_place]
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    total = np.cumsum(finder.first[key + 1] - finder.first[key])
+    windows: dict[tuple[int, int, int], list[int]] = {}
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + BLOCK, side="right")))
+        for d, k, b, a, z, hits in _windows(finder, doc, h, cut, at[low:high], key[low:high]):
+            windows.setdefault((d, k, b), [a, z, 0])[2] += hits  # blocks may part the hits of a window
+        low = high
+    items = finder.items
+    best: dict[tuple[int, int], tuple[int, float, int, int, int]] = {}
+    windows = dict(sorted(windows.items()))
+    score, end = align([items.words[k] for _, k, _ in windows], [h[a:z] for a, z, _ in windows.values()])
+    for ((d, k, _), (a, _, hits)), s, e in zip(windows.items(), score, end):
+        similarity = s / (MATCH * len(items.words[k]))
+        if similarity >= THRESHOLD and similarity > best.get((d, k), (0, 0, 0.0))[2]:
+            best[d, k] = (d, k, float(similarity), hits, int(a + e - cut[d]))
+    return list(best.values())
+
+
+def _windows(finder: Finder, doc: np.ndarray, h: np.ndarray, cut: np.ndarray, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """(text, item, stretch, first word, end, hits) of the windows of some hits that can reach the threshold."""
     items = finder.items
     times = finder.first[key + 1] - finder.first[key]
     at, key = np.repeat(at, times), np.repeat(key, times)
     ahead = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
     entry = finder.order[finder.first[key] + ahead]
-    item = items.item[entry]
-    size = np.array([len(w) for w in items.words])[item]
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    d = doc[at]
-    begin = (at - cut[d] - items.at[entry]) // size
+    item, d = items.item[entry], doc[at]
+    begin = (at - cut[d] - items.at[entry]) // items.size[item]
     group, n = np.unique(np.stack([d, item, begin], axis=1), axis=0, return_counts=True)
-    lo, hi = [], []
-    for d, k, b in group:
-        size = len(items.words[k])
-        pad = size // 2 + 2
-        lo.append(max(cut[d], cut[d] + b * size - pad))
-        hi.append(min(cut[d + 1], cut[d] + (b + 2) * size + pad))
-    score, end = align([items.words[k] for _, k, _ in group], [h[a:b] for a, b in zip(lo, hi)])
-    best: dict[tuple[int, int], tuple[int, float, int, int, int]] = {}
-    for (d, k, _), s, e, a, hits in zip(group, score, end, lo, n):
-        similarity = s / (MATCH * len(items.words[k]))
-        if similarity >= THRESHOLD and similarity > best.get((d, k), (0, 0, 0.0))[2]:
-            best[d, k] = (int(d), int(k), float(similarity), int(hits), int(a + e - cut[d]))
-    return list(best.values())
+    d, item, begin = group.T
+    size = items.size[item]
+    pad = size // 2 + 2
+    lo = np.maximum(cut[d], cut[d] + begin * size - pad)
+    hi = np.minimum(cut[d + 1], cut[d] + (begin + 2) * size + pad)
+    total, low = np.cumsum(hi - lo), 0
+    while low < len(lo):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + BLOCK, side="right")))
+        part = slice(low, high)
+        enough = _shared_words(finder, h, item[part], lo[part], hi[part]) >= THRESHOLD * size[part]
+        for g in low + np.flatnonzero(enough):
+            yield int(d[g]), int(item[g]), int(begin[g]), int(lo[g]), int(hi[g]), int(n[g])
+        low = high
+
+
+def _shared_words(finder: Finder, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Words that each window has in common with its item, repeated ones as often as both hold them."""
+    items, size = finder.items, hi - lo
+    window = np.repeat(np.arange(len(lo)), size)
+    place = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size) + lo[window]
+    w = _of_item(h[place], item[window])
+    known = np.flatnonzero(finder.word_sieve[(w & np.uint64((1 << 22) - 1)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(items.word, w[known]), len(items.word) - 1)
+    same = items.word[at] == w[known]
+    pair, n = np.unique(window[known[same]] * len(items.word) + at[same], return_counts=True)
+    return np.bincount(pair // len(items.word), np.minimum(n, items.times[pair % len(items.word)]), len(lo))
 
 
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
@@ -157,34 +199,25 @@ _PLAIN = bytes(0x20 if common.PUNCTUATED[b] else b for b in range(256))
 
 
 def finders(docs: DataFrame, benchmark: DataFrame) -> Iterator[Finder]:
-    """One finder with seeds for each slice of the benchmark; counts n-grams over all of docs."""
+    """One finder with seeds for each slice of the benchmark: the n-grams that docs hold."""
     for rows in _slices(benchmark):
         items = _items(rows)
         if not len(items.gram):
             continue
         every = Finder(items)
 
-        def count(batches, every=every):
-            n = np.zeros(len(every.key), np.int64)
+        def occurring(batches, every=every):
+            held = np.zeros(len(every.key), bool)
             for batch in batches:
                 for part in common.chunks((t for t in common.binary(batch.column(0)) if t), len):
                     doc, h, _, _ = common.word_hashes(part, common.PUNCTUATED)
-                    at, key = every.hits(doc, h)
-                    n += np.bincount(np.unique(doc[at] * len(every.key) + key) % len(every.key), minlength=len(every.key))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["key", "n"])
-
-        total = np.zeros(len(every.key), np.int64)
-        for key, n in docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n")).toLocalIterator():
-            total[key] = n
-        df = total[np.searchsorted(every.key, items.gram)]
-        order = np.lexsort((items.at, df, items.item))
-        order = order[df[order] > 0]  # n-grams that no document holds find nothing
-        item, count = items.item[order], df[order]
-        first, n = np.unique(item, return_index=True, return_counts=True)[1:]
-        rank = np.arange(len(order)) - np.repeat(first, n)
-        median = np.repeat(count[first + (n - 1) // 2], n)
-        items.keep(np.sort(order[(rank < LEAST_SEEDS) | (count <= COMMON * median)]))
+                    held[every.hits(doc, h)[1]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held))], ["key"])
+
+        held = np.zeros(len(every.key), bool)
+        for (key,) in docs.select("text").mapInArrow(occurring, "key long").distinct().toLocalIterator():
+            held[key] = True
+        items.keep(np.flatnonzero(held[np.searchsorted(every.key, items.gram)]))
         if not len(items.gram):
             continue
         yield Finder(items)

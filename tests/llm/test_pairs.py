@@ -198,6 +198,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(df.where("false"), b).count() == 0
 
 
+def test_edited_copies_of_a_hot_item(spark):
+    """A verbatim copy makes most n-grams rare; those that many edited copies hold stay seeds."""
+    item = [f"h{k}" for k in range(40)]
+    edited = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    docs = [(0, " ".join(item))] + [(k, f"before{k} " + " ".join(edited) + " after") for k in range(1, 1001)]
+    docs += [(2000, "h0 h1 h2 and h10 h11 h12 but nothing else")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["similarity"] for r in decontaminate.contaminated_pairs(df, b).collect()}
+    assert set(got) == set(range(1001)) and got[0] == 1 and 0.7 < got[7] < 0.72
+    assert {r[0] for r in decontaminate.clean_documents(df, b).select("doc_id").collect()} == {2000}
+
+
+def test_windows_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(4)
+    say = lambda n: [f"u{rng.randrange(60)}" for _ in range(n)]
+    items = [say(25) for _ in range(30)]
+    texts = [" ".join(say(80) + [w for w in items[k] if rng.random() > 0.15] + say(80)).encode() for k in range(30)]
+    finder = decontaminate.Finder(decontaminate._items([(k, " ".join(w).encode()) for k, w in enumerate(items)]))
+    whole = decontaminate.contaminations(finder, texts)
+    assert {(k, k) for k in range(30)} <= {(d, k) for d, k, *_ in whole}
+    monkeypatch.setattr(decontaminate, "BLOCK", 50)
+    assert sorted(decontaminate.contaminations(finder, texts)) == sorted(whole)
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_WORDS", 30)
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
