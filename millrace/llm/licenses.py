@@ -2,9 +2,10 @@
 
 A text is cut into pieces at line ends and after sentence marks. Pieces are normalised (lower case, numbers
 as 0, everything but letters as single spaces) and looked up among known licence sentences; up to four pieces
-in a row are tried together, so that wrapped and commented notices are found. The identifiers of a text, in
-order, form a sequence; ordered rules turn runs of it into licences, longer runs first. A version number in
-a sentence becomes part of the licence.
+in a row are tried together. The sentences of the published licences and their headers (`PUBLISHED`) are found
+in the joined pieces as well, so however they are wrapped or commented, and as parts of longer sentences. The
+identifiers of a text, in order, form a sequence; ordered rules turn runs of it into licences, longer runs
+first. A version number in a sentence becomes part of the licence.
 
 Everything happens within a row: no shuffle, no join, no Python. Texts without any of the words that all
 known sentences contain one of are not cut up.
@@ -82,6 +83,57 @@ RULES = (
 )
 WINDOW = 4
 
+_IS = "(?:this (?:project|program|software|work|file) is )?"
+_GNU = "you can redistribute (?:it|them) and or modify (?:it|them) under the terms of {}the gnu {}general public license{} as published by the free software foundation"
+_DATE = "(?:[0-9]+ )?(?:january|february|june|november) [0-9]+"
+
+
+def _gnu(kind: str, id: str) -> list[tuple[str, str]]:
+    """Header sentences and title of a licence of the GNU family."""
+    terms = _GNU.format("", kind, "")
+    return [
+        (terms + " either version # of the license or at your option any later version", f"{id}_LATER"),
+        (terms + " version #", f"{id}_ONLY"),
+        (_GNU.format("version # of ", kind, ""), f"{id}_ONLY"),
+        (_GNU.format("", kind, " version #"), f"{id}_ONLY"),
+        (f"{_IS}licensed under the gnu {kind}general public license version #", f"{id}_NOTICE"),
+        (f"gnu {kind}general public license version # {_DATE}", f"{id}_NOTICE"),
+    ]
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    parts = {"BY": "", "BY_SA": " share ?alike", "BY_ND": " no ?deriv(?:ative)?s", "BY_NC": " non ?commercial", "BY_NC_SA": " non ?commercial share ?alike", "BY_NC_ND": " non ?commercial no ?deriv(?:ative)?s"}
+    names = [(f"{_IS}licensed under (?:a|the) creative commons attribution{p} # (?:international|unported|generic)", f"CC_{k}") for k, p in parts.items()]
+    return names + [(f"{_IS}licensed under cc {k.lower().replace('_', ' ')} #", f"CC_{k}") for k in parts]
+
+
+#: Sentences of the published texts and headers as patterns of words, and their identifiers; # is a version.
+PUBLISHED = [
+    (f"{_IS}licensed under the apache license version #", "APACHE_NOTICE"),
+    (f"apache license version # {_DATE}", "APACHE_NOTICE"),
+    ("you may not use (?:this file|these files|this work) except in compliance with the license", "APACHE_COMPLY"),
+    ("you may obtain a copy of the license at", "APACHE_COPY"),
+    (f"(?:{_IS}licensed|released) under the mit license", "MIT_NOTICE"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "MIT_GRANT"),
+    ("the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software", "MIT_KEEP"),
+    ("the software is provided as is without warranty of any kind", "MIT_WARRANTY"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "BSD_GRANT"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "BSD_SOURCE"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "BSD_BINARY"),
+    ("neither the names? of (?:[a-z0-9.]+ ){1,20}?nor the names of (?:its|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission", "BSD_NAMES"),
+    ("the names? of (?:[a-z0-9.]+ ){1,20}?may not be used to endorse or promote products derived from this software without specific prior written permission", "BSD_NAMES"),
+    *_gnu("", "GPL"),
+    *_gnu("(?:lesser|library) ", "LGPL"),
+    *_gnu("affero ", "AGPL"),
+    *_creative_commons(),
+    ("this source code form is subject to the terms of the mozilla public license v #", "MPL_NOTICE"),
+    ("mozilla public license version # 1 definitions", "MPL_NOTICE"),
+    ("permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", "ISC_GRANT"),
+]
+
+#: Rules of the identifiers that only published sentences have.
+PUBLISHED_RULES = tuple(((f"{i}_{kind}",), f"{i}-+{end}") for i in ("GPL", "LGPL", "AGPL") for kind, end in (("LATER", "-or-later"), ("ONLY", "")))
+
 
 def _lookup(key: str) -> str:
     """SQL: the identifier of a normalised sentence; both engines read it."""
@@ -101,6 +153,21 @@ def _sequence() -> str:
     return f"transform(k, (x, i) -> CASE WHEN x = '' THEN NULL ELSE coalesce({tries}) END)"
 
 
+def _pattern(sentence: str) -> str:
+    """Regular expression of a sentence in pieces that are joined by |; its number, if any, is group 1."""
+    number = "([0-9]+(?:[.][0-9]+)*)"
+    return "(?<![a-z0-9.])" + sentence.replace(" ?", "~").replace(" ", "[ |]+").replace("~", "[ |]*").replace("#", number) + "(?![a-z0-9.])"
+
+
+def _published(pieces: str):
+    """Column: the text of each piece after the marks <identifier:version> of the published sentences in it."""
+    words = rf"transform({pieces}, x -> trim(regexp_replace(regexp_replace(x, '[^a-z0-9.]+', ' '), '(?<![0-9])[.]+|[.]+(?![0-9])', ' ')))"
+    text = F.expr(f"array_join({words}, '|')")
+    for sentence, id in PUBLISHED:
+        text = F.regexp_replace(text, _pattern(sentence), f"<{id}:{'$1' if '#' in sentence else ''}>$0")
+    return F.split(text, "[|]")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, n_licenses, sentence_ids) of every row; lists are joined by semicolons."""
     cue = F.lit(False)
@@ -109,17 +176,21 @@ def scan(docs: DataFrame) -> DataFrame:
     pieces = F.split(F.regexp_replace("text", r"([.!?;:])[ \t]+", "$1\n"), "\n")
     df = docs.select("doc_id", F.when(cue, F.transform(pieces, F.lower)).otherwise(F.array().cast("array<string>")).alias("p"))
     df = df.select("doc_id", "p", F.expr(r"transform(p, x -> trim(regexp_replace(regexp_replace(x, '[0-9]+([.][0-9]+)*', '0'), '[^a-z0]+', ' ')))").alias("k"))
-    df = df.select("doc_id", "p", F.expr(_sequence()).alias("ids"))
-    marked = r"filter(transform(ids, (x, i) -> concat('<', x, ':', regexp_extract(array_join(slice(p, i + 1, 4), ' '), '[0-9]+(?:[.][0-9]+)*', 0), '>')), x -> x IS NOT NULL)"
-    df = df.select("doc_id", F.expr(f"array_join({marked}, '')").alias("seq"), F.expr("array_join(filter(ids, x -> x IS NOT NULL), ';')").alias("sentence_ids"))
+    df = df.select("doc_id", "p", F.expr(_sequence()).alias("ids"), _published("p").alias("m"))
+    own = "transform(ids, (x, i) -> concat('<', x, ':', regexp_extract(array_join(slice(p, i + 1, 4), ' '), '[0-9]+(?:[.][0-9]+)*', 0), '>'))"
+    other = "filter(regexp_extract_all(t, '<[A-Z_]+:[0-9.]*>', 0), y -> o IS NULL OR split_part(y, ':', 1) <> split_part(o, ':', 1))"
+    # zip_with: a lambda that picked from m would work m out again for each piece
+    df = df.select("doc_id", F.expr(f"flatten(zip_with({own}, m, (o, t) -> concat(filter(array(o), z -> z IS NOT NULL), {other})))").alias("marks"))
+    df = df.select("doc_id", F.expr("array_join(marks, '')").alias("seq"), F.expr("array_join(transform(marks, y -> regexp_extract(y, '[A-Z_]+', 0)), ';')").alias("sentence_ids"))
     found = F.coalesce("seq", F.lit(""))
-    for ids, name in RULES:
+    for ids, name in RULES + PUBLISHED_RULES:
         found = F.regexp_replace(found, *_rule(ids, name, "$1"))
     df = df.select("doc_id", F.regexp_extract_all(found, F.lit(r"\{([^}]*)\}"), 1).alias("found"), F.coalesce("sentence_ids", F.lit("")).alias("sentence_ids"))
     return df.select("doc_id", F.array_join("found", ";").alias("licenses"), F.size("found").cast("long").alias("n_licenses"), "sentence_ids")
 
 
 def _duckdb() -> str:
+    """The lookup of whole pieces only, without the published sentences within longer or wrapped ones."""
     joined = ["k[i]"] + [f"array_to_string(k[i:i + {n - 1}], ' ')" for n in range(2, WINDOW + 1)]
     tries = ", ".join([f"({_lookup(joined[0])})"] + [f"CASE WHEN i + {n - 1} <= len(k) THEN ({_lookup(joined[n - 1])}) END" for n in range(2, WINDOW + 1)])
     found = "seq"

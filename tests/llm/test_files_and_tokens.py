@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -188,6 +189,74 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE_TEXT = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS."""
+BSD_TEXT = """Copyright (c) 2020, Jane Doe
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+3. Neither the name of the University of Somewhere nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_published_licenses(spark):
+    texts = {
+        "MIT": MIT_TEXT, "Apache-2.0": APACHE_TEXT, "BSD-2-Clause": BSD_TEXT, "BSD-3-Clause": BSD_TEXT + BSD_NAMES, "GPL-3-or-later": GPL_TEXT.format("", 3),
+        "LGPL-2.1-or-later": GPL_TEXT.format("Lesser ", 2.1), "AGPL-3-or-later": GPL_TEXT.format("Affero ", 3), "GPL-2": GPL_TEXT.format("", 2).replace("either ", "").replace(", or\n(at your option) any later version", ""),
+        "CC-BY-SA-4.0": "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License.", "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not",
+        "ISC": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    }
+    narrow = {k: "\n".join(textwrap.wrap(t, 24)) for k, t in texts.items()}
+    rows = [(k, wrap(t)) for k, t in texts.items() for wrap in (str, lambda t: t.replace("\n", " "), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */\nint main;")]
+    rows += [(k, t) for k, t in narrow.items()] + [("", "the terms of the MIT are short; the license of this is Apache"), ("MIT", "All code here is released under the MIT license unless noted")]
+    df = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert [got[n] for n in range(len(rows))] == [k for k, _ in rows]
+
+
 def test_op4_oracle(spark):
     got = queries.QUERIES["op4_warc"](spark, SMALL)
     want, columns = run_oracle(warc.ORACLE, pages=common.table(spark, SMALL, "pages").toArrow())
