@@ -11,7 +11,9 @@
 4. Each page is read with the wrapper of its host: text of the main element, by blocks in page order.
 
 Furniture is known by element (nav, header, footer, aside, form, dialog ...), role or class and id words (menu,
-sidebar, cookie, advert, comments ...). Headings inside a header of the main element stay.
+sidebar, cookie, advert, comments ...). Headings inside a header of the main element stay. Words never make a
+heading furniture; below a main element a class or id counts only if it is made of such words as a whole, and
+`GENERIC` words, which name sections of texts as well, don't count alone.
 
 Character references are decoded as HTML5 does; white space within a block becomes one space; blocks are joined
 by one newline. Null html is an empty page and gives the empty text; null or odd URLs form one host each by
@@ -53,13 +55,20 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments respond reply replies disqus discussion share sharing social follow tags copyright legal skip".split()
 )
+#: Those that name sections of articles, too.
+GENERIC = frozenset("discussion side legal notice notices notification alert header masthead foot footer copyright skip reply respond rail overlay".split())
+#: Words that say nothing beside one of WORDS.
+COMPANIONS = frozenset(
+    "post posts article articles story stories link links box boxes bar bars button buttons block blocks container wrapper wrap list item items area unit slot module panel "
+    "icon icons form inner outer top bottom left right inline page site widget section content".split()
+)
 #: Words of classes and ids of article elements that are not the page's article.
 NOT_THE_ARTICLE = frozenset("ad ads advert advertisement sponsored promoted related recommended comment comments reply replies teaser".split())
 #: Elements that an opening tag of the named kind closes.
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -94,28 +103,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
 
 
-def role_of(tag: str, attributes: str) -> str:
-    """'main', 'furniture' or '' of an element."""
-    found, words, roles = {}, set(), set()
+def role_of(tag: str, attributes: str, within: bool = False) -> str:
+    """'main', 'furniture' or '' of an element; within tells whether it is below a main element."""
+    found: dict[str, str] = {}
     if attributes:
         for m in _ATTR.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            found[name] = value
-            if name in ("class", "id"):
-                words.update(_WORD.findall(value))
-            elif name == "role":
-                roles.update(value.split())
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    named = f"{found.get('class', '')} {found.get('id', '')}"
+    roles = set(found.get("role", "").split())
     if tag in ("html", "body"):
         return ""
-    if tag == "main" or tag == "article" and not words & NOT_THE_ARTICLE:
+    if tag == "main" or tag == "article" and NOT_THE_ARTICLE.isdisjoint(_WORD.findall(named)):
         return "main"
     if roles & MAIN_ROLES:
         return "main"
-    if tag in FURNITURE or roles & ROLES or words & WORDS or "hidden" in found or found.get("aria-hidden") == "true":
+    if tag in FURNITURE or roles & ROLES or "hidden" in found or found.get("aria-hidden") == "true":
+        return "furniture"
+    if tag not in HEADINGS and (any(map(_furniture_name, named.split())) if within else not WORDS.isdisjoint(_WORD.findall(named))):
         return "furniture"
     return ""
 
 
+def _furniture_name(name: str) -> bool:
+    """Whether a class or id as a whole names furniture."""
+    words = set(_WORD.findall(name))
+    return words <= WORDS | COMPANIONS and not words.isdisjoint(WORDS - GENERIC)
+
+
 class Node:
     """An element of a form: key, children in order, whether it repeats or may be missing; texts are slots."""
 
@@ -232,7 +246,7 @@ def form(page: str) -> Node:
             if tag in BLOCK and tag not in VOID:
                 leave(walk.before(tag))
                 walk.open.append(tag)
-                node = Node(key_of(tag, role_of(tag, rest)))
+                node = Node(key_of(tag, role_of(tag, rest, any(x.key.endswith(".main") for x in path))))
                 path[-1].children.append(node)
                 path.append(node)
         elif tag in BLOCK:
@@ -314,12 +328,12 @@ def _blocks(page: str, path: list[str] | None) -> str | None:
                     continue
                 leave(walk.before(tag))
                 walk.open.append(tag)
-                keys.append(key_of(tag, role_of(tag, rest)))
+                keys.append(key_of(tag, role_of(tag, rest, _within(keys))))
                 if path is not None and inside < 0 and (keys == path or keys[-1:] == path[-1:] and path[-1].endswith(".main")):
                     inside, seen = len(keys), True
             elif tag == "br":
                 now.append(" ")
-            elif tag not in VOID and (tag in FURNITURE or rest and role_of(tag, rest) == "furniture"):
+            elif tag not in VOID and (tag in FURNITURE or rest and role_of(tag, rest, _within(keys)) == "furniture"):
                 stack.append((tag, True))
         elif tag in BLOCK:
             flush()
@@ -331,6 +345,10 @@ def _blocks(page: str, path: list[str] | None) -> str | None:
     return "\n".join(out) if seen else None
 
 
+def _within(keys: list[str]) -> bool:
+    return any(k.endswith(".main") for k in keys)
+
+
 def _hidden(keys: list[str], inside: int) -> bool:
     """Whether an element below the main one is furniture; a header's headings are not."""
     for k in keys[inside:]:

@@ -157,6 +157,14 @@ def test_html_extraction(spark):
     assert html_extract.main_texts(df.where("false")).count() == 0
 
 
+def test_words_of_sections_are_not_furniture():
+    page = """<body><div class="site-header">Site</div><article><h1>T</h1><section id='discussion'><h2 id='side-effects'>Side effects</h2><p>d</p></section>
+<div class='legal-analysis'>law</div><div class='article-header'>lead</div><p title="a hidden gem">gem</p><p data-id='menu'>dish</p><p data-x="1" hidden>no</p>
+<div class='notice'>n</div><div class='ad-box wide'>ad</div><ul class='share-buttons'><li>s</ul><div class='related posts'>r</div><p>x <span class='tags'>t</span></p></article></body>"""
+    path = html_extract.main_path(html_extract.form(page))
+    assert html_extract.extract(page, path) == "T\nSide effects\nd\nlaw\nlead\ngem\ndish\nn\nx"
+
+
 def test_wrapper_generalises():
     a = html_extract.form("<div><h1>t</h1><p>x</p><p>y</p><ul><li>1<li>2</ul></div>")
     b = html_extract.form("<div><h1>t</h1><p>x</p><div class=ad>z</div></div>")
