@@ -1,14 +1,18 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred per host.
 
-1. Each page becomes a tree of tokens: block elements keyed by tag and role, inline markup dropped, text as
-   slots. Equal neighbours under one element fold into a repeated group, so a page's form is short.
+1. Each page becomes a tree of tokens: block elements keyed by tag, role and class, inline markup dropped, texts
+   as digests. Equal neighbours under one element fold into a repeated group, so a page's form is short.
 2. The forms of a host are aligned one after another. Where two forms differ, the side that has more becomes
-   an optional group; equal elements in a row become a repeated group; texts become slots. The result is the
-   host's wrapper: a union-free expression with slots, repeated (+) and optional (?) groups. Forms are counted
-   before they are gathered, and gathered in salted steps, so hosts with very many pages are no hot spot.
-3. The wrapper says which element holds the main text: an article or main element if it has one, else the
-   element below which most text slots lie in groups, leaving out navigation and other page furniture.
-4. Each page is read with the wrapper of its host: text of the main element, by blocks in page order.
+   an optional group; equal elements in a row become a repeated group; texts that are equal stay constant, others
+   become slots, with their length. The result is the host's wrapper: a union-free expression with constants,
+   slots, repeated (+) and optional (?) groups, and the containers whose whole text is equal on all pages. Forms
+   meet within their input partition first and then in salted steps, so hosts with very many pages are no hot spot.
+3. The wrapper says which element holds the main text: an article or main element if it has one, else the deepest
+   element that holds `MOST` of the varying text, leaving out navigation and other page furniture.
+4. Each page is read with the wrapper of its host: text of the main element, by blocks in page order. Where no
+   article or main element tells, containers whose text is equal on all pages of the host are left out, too. A
+   host whose pages are equal but for less than `LEAST_VARYING` of the text tells nothing: there all but furniture
+   is kept.
 
 Furniture is known by element (nav, header, footer, aside, form, dialog ...), role or class and id words (menu,
 sidebar, cookie, advert, comments ...). Headings inside a header of the main element stay. Words never make a
@@ -22,6 +26,7 @@ their text. Repeated rows give repeated rows; other columns are ignored; an empt
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -35,6 +40,18 @@ from millrace.llm import common
 
 #: Parts into which a host's forms are dealt before they meet.
 SALTS = 16
+#: Share of a host's varying text that the main element holds where no element is marked as such.
+MOST = 0.8
+#: Share of a host's text that has to vary; below, its pages are near copies and tell nothing.
+LEAST_VARYING = 0.2
+#: Children of an element from which on they are told apart by tag and role only.
+MANY = 64
+#: Hosts whose forms a task holds at once.
+HOSTS = 256
+#: Elements that are left out as a whole if their text is constant.
+CONTAINERS = frozenset("div section ul ol dl table td center details address".split())
+#: Elements that can be the main one.
+DIVISIONS = frozenset("html body div section table tbody tr td center".split())
 
 #: Elements by kind.
 RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
@@ -131,47 +148,83 @@ def _furniture_name(name: str) -> bool:
 
 
 class Node:
-    """An element of a form: key, children in order, whether it repeats or may be missing; texts are slots."""
+    """An element of a form: key, children in order, whether it repeats or may be missing, and its own text.
 
-    __slots__ = ("key", "children", "plus", "optional", "slots")
+    slots is 1 if it has text of its own, text the digest of it while it is constant, else 0, and size its length.
+    The root has the digests of the containers with constant text, once a page with text was met.
+    """
 
-    def __init__(self, key: str, children=None, plus=False, optional=False, slots=0):
+    __slots__ = ("key", "children", "plus", "optional", "slots", "text", "size", "same")
+
+    def __init__(self, key: str, children=None, plus=False, optional=False, slots=0, text=0, size=0, same=None):
         self.key, self.children, self.plus, self.optional, self.slots = key, children or [], plus, optional, slots
+        self.text, self.size, self.same = text, size, same
 
     def pack(self):
-        return [self.key, int(self.plus) + 2 * int(self.optional), self.slots, [c.pack() for c in self.children]]
+        return [self.key, int(self.plus) + 2 * int(self.optional), self.slots, self.text, self.size, None if self.same is None else sorted(self.same), [c.pack() for c in self.children]]
 
     @classmethod
     def unpack(cls, raw) -> Node:
-        key, flags, slots, children = raw
-        return cls(key, [cls.unpack(c) for c in children], bool(flags & 1), bool(flags & 2), slots)
+        key, flags, slots, text, size, same, children = raw
+        return cls(key, [cls.unpack(c) for c in children], bool(flags & 1), bool(flags & 2), slots, text, size, None if same is None else set(same))
 
     def expression(self) -> str:
         """The union-free expression as text."""
         inner = ("#" if self.slots else "") + "".join(c.expression() for c in self.children)
         mark = ("+" if self.plus else "") + ("?" if self.optional else "")
-        body = f"<{self.key}>{inner}</{self.key}>"
+        key = plain(self.key)
+        body = f"<{key}>{inner}</{key}>"
         return f"({body}){mark}" if mark else body
 
 
-def key_of(tag: str, role: str) -> str:
-    return f"{tag}.{role}" if role else tag
+def key_of(tag: str, role: str, attributes: str = "") -> str:
+    """tag#class.role; long numbers in classes, as of single posts, count as 0."""
+    key = tag
+    if attributes and not role and tag in CONTAINERS:
+        named = next((m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes) if m[1].lower() == "class"), "")
+        name = "-".join(sorted(named.lower().replace(".", "-").split()))
+        if name:
+            key = f"{tag}#{re.sub('[0-9]{3,}', '0', name)}"
+    return f"{key}.{role}" if role else key
+
+
+def plain(key: str) -> str:
+    """A key without its class."""
+    return key.partition("#")[0]
+
+
+def digest(*parts) -> int:
+    """Number other than 0 that stands for a text."""
+    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big") or 1
 
 
 def merge(a: Node, b: Node) -> Node:
     """The least general element that matches what a or b match."""
-    return Node(a.key, align(a.children, b.children), a.plus or b.plus, a.optional or b.optional, max(a.slots, b.slots))
+    text = a.text if not b.slots else b.text if not a.slots or a.text == b.text else 0
+    same = a.same if b.same is None else b.same if a.same is None else a.same & b.same
+    return Node(a.key, align(a.children, b.children), a.plus or b.plus, a.optional or b.optional, max(a.slots, b.slots), text, max(a.size, b.size), same)
+
 
+def join(a: Node, b: Node) -> Node:
+    """Neighbours of one page as a group: their texts in a row are the text of the group."""
+    both = merge(a, b)
+    if a.slots and b.slots:
+        both.text = digest(a.text, b.text) if a.text and b.text else 0
+        both.size = a.size + b.size
+    if len(a.children) == len(b.children):
+        both.children = [join(x, y) for x, y in zip(a.children, b.children)] if [x.key for x in a.children] == [x.key for x in b.children] else both.children
+    return both
 
-def fold(items: list[Node]) -> list[Node]:
+
+def fold(items: list[Node], join=join) -> list[Node]:
     """Equal neighbours become a repeated group; of A B A each of the two becomes one."""
     out: list[Node] = []
     for x in items:
         if out and out[-1].key == x.key:
-            out[-1] = merge(out[-1], x)
+            out[-1] = join(out[-1], x)
             out[-1].plus = True
         elif len(out) >= 2 and out[-2].key == x.key:
-            out[-2] = merge(out[-2], x)
+            out[-2] = join(out[-2], x)
             out[-2].plus = True
             out[-1].plus = True
         else:
@@ -183,6 +236,10 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Alignment of two child lists by longest common subsequence of keys; the rest becomes optional."""
     if [x.key for x in a] == [x.key for x in b]:
         return [merge(x, y) for x, y in zip(a, b)]
+    if len(a) + len(b) > MANY:
+        for x in (*a, *b):
+            x.key = plain(x.key)
+        a, b = fold(a, merge), fold(b, merge)
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -198,8 +255,8 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
                 x, i = a[i], i + 1
             else:
                 x, j = b[j], j + 1
-            out.append(Node(x.key, x.children, x.plus, True, x.slots))
-    return fold(out)
+            out.append(Node(x.key, x.children, x.plus, True, x.slots, x.text, x.size))
+    return fold(out, merge)
 
 
 class _Walk:
@@ -231,30 +288,61 @@ class _Walk:
 def form(page: str) -> Node:
     """The form of a page: its block elements with equal neighbours folded."""
     root = Node("")
-    path, walk = [root], _Walk()
+    path, texts, walk, same, some = [root], [[]], _Walk(), set(), False
 
     def leave(n: int) -> None:
         for _ in range(n):
-            done = path.pop()
+            done, own = path.pop(), texts.pop()
             done.children = fold(done.children)
+            if not own:
+                continue
+            whole = digest(*(d for d, _ in own))
+            if plain(done.key) in CONTAINERS:
+                same.add(whole)
+            done.size = sum(n for _, n in own)
+            if done.size:
+                done.slots, done.text = 1, digest(*(d for d, n in own if n))
+            if texts:
+                texts[-1].append((whole, 0))
 
     for kind, tag, rest in tokens(page):
         if kind == "text":
             if rest.strip():
-                path[-1].slots = 1
+                texts[-1].append(letters(rest))
+                some = True
         elif kind == "open":
             if tag in BLOCK and tag not in VOID:
                 leave(walk.before(tag))
                 walk.open.append(tag)
-                node = Node(key_of(tag, role_of(tag, rest, any(x.key.endswith(".main") for x in path))))
+                node = Node(key_of(tag, role_of(tag, rest, any(x.key.endswith(".main") for x in path)), rest))
                 path[-1].children.append(node)
                 path.append(node)
+                texts.append([])
         elif tag in BLOCK:
             leave(walk.close(tag))
     leave(len(path))
+    root.same = same if some else None
     return root
 
 
+def letters(text: str) -> tuple[int, int]:
+    """Digest and length of a text without white space."""
+    text = "".join(text.split())
+    return digest(text), len(text)
+
+
+def varying(x: Node, constant: bool = False) -> int:
+    """Length of the text below an element that is not the same on all pages (or of all), without furniture."""
+    if x.key.endswith(".furniture"):
+        return 0
+    return (x.size if constant or not x.text else 0) + sum(varying(c, constant) for c in x.children)
+
+
+def tells(wrapper: Node) -> bool:
+    """Whether enough text varies to tell content from the host's constant text."""
+    return varying(wrapper) > LEAST_VARYING * varying(wrapper, True)
+
+
 def main_path(wrapper: Node) -> list[str]:
     """Keys from the root to the element that holds the main text."""
     best: list[tuple[int, list[str]]] = []
@@ -277,8 +365,15 @@ def main_path(wrapper: Node) -> list[str]:
     if best:
         top = max(w for w, _ in best)
         return next(p for w, p in best if w == top)
-    # no article: go down while one child holds nearly all text slots
+    # no article: go down while one child holds nearly all varying text
     path, x = [], wrapper
+    if tells(wrapper):
+        while True:
+            most = max(x.children, key=varying, default=None)
+            if most is None or plain(most.key) not in DIVISIONS or varying(most) < MOST * varying(x) or sum(c.key == most.key for c in x.children) > 1:
+                return path
+            x = most
+            path.append(x.key)
     while True:
         inner = [c for c in x.children if weight(c)]
         if len(inner) == 1 and not inner[0].plus and not x.slots and inner[0].children:
@@ -288,17 +383,23 @@ def main_path(wrapper: Node) -> list[str]:
             return path
 
 
-def extract(page: str, path: list[str]) -> str:
+def constants(wrapper: Node, path: list[str]) -> list[int]:
+    """Digests of the containers that hold no text of the page itself; none if too little varies or a main element tells."""
+    return sorted(wrapper.same or ()) if tells(wrapper) and not any(k.endswith(".main") for k in path) else []
+
+
+def extract(page: str, path: list[str], same: list[int] = ()) -> str:
     """Text of the main element at a path of keys; of all but furniture where a page lacks the element."""
     for strict in ((True, False) if path else (False,)):
-        text = _blocks(page, path if strict else None)
+        text = _blocks(page, path if strict else None, frozenset(same))
         if text is not None:
             return text
     return ""
 
 
-def _blocks(page: str, path: list[str] | None) -> str | None:
+def _blocks(page: str, path: list[str] | None, same: frozenset[int] = frozenset()) -> str | None:
     walk, keys, out, now = _Walk(), [], [], []
+    begun: list[tuple[int, list[int]]] = []  # of each open element: blocks before it, and digests of its text
     inside = 0 if path is None else -1  # depth of keys at which the main element begins; -1: not met
     seen = path is None
     stack: list[tuple[str, bool]] = []  # furniture elements that are inline
@@ -313,12 +414,23 @@ def _blocks(page: str, path: list[str] | None) -> str | None:
     def leave(n: int) -> None:
         nonlocal inside
         for _ in range(n):
-            keys.pop()
+            key = keys.pop()
+            if same:
+                first, parts = begun.pop()
+                if not parts:
+                    continue
+                whole = digest(*parts)
+                if plain(key) in CONTAINERS and whole in same:
+                    del out[first:]
+                if begun:
+                    begun[-1][1].append(whole)
         if path is not None and inside >= 0 and len(keys) < inside:
             inside = -1
 
     for kind, tag, rest in tokens(page):
         if kind == "text":
+            if same and begun and rest.strip():
+                begun[-1][1].append(letters(rest)[0])
             if inside >= 0 and not stack and not _hidden(keys, inside):
                 now.append(rest)
         elif kind == "open":
@@ -328,8 +440,9 @@ def _blocks(page: str, path: list[str] | None) -> str | None:
                     continue
                 leave(walk.before(tag))
                 walk.open.append(tag)
-                keys.append(key_of(tag, role_of(tag, rest, _within(keys))))
-                if path is not None and inside < 0 and (keys == path or keys[-1:] == path[-1:] and path[-1].endswith(".main")):
+                keys.append(key_of(tag, role_of(tag, rest, _within(keys)), rest))
+                begun.append((len(out), []))
+                if path is not None and inside < 0 and (_at(keys, path) or keys[-1:] == path[-1:] and path[-1].endswith(".main")):
                     inside, seen = len(keys), True
             elif tag == "br":
                 now.append(" ")
@@ -342,9 +455,15 @@ def _blocks(page: str, path: list[str] | None) -> str | None:
         elif stack and stack[-1][0] == tag:
             stack.pop()
     flush()
+    leave(len(keys))
     return "\n".join(out) if seen else None
 
 
+def _at(keys: list[str], path: list[str]) -> bool:
+    """Whether keys lead to the element at path, whose keys may lack classes."""
+    return len(keys) == len(path) and all(k == p or plain(k) == p for k, p in zip(keys, path))
+
+
 def _within(keys: list[str]) -> bool:
     return any(k.endswith(".main") for k in keys)
 
@@ -364,9 +483,21 @@ def host_of(url):
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each host one form that matches its pages of a partition; several if a task meets many hosts."""
+    held: dict[str, Node] = {}
+
+    def give():
+        packed = [json.dumps(x.pack(), separators=(",", ":")) for x in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(packed, pa.string())], ["host", "form"])
+
     for batch in batches:
-        forms = [json.dumps(form(t or "").pack(), separators=(",", ":")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], ["host", "form"])
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            one = form(page or "")
+            held[host] = merge(held[host], one) if host in held else one
+            if len(held) >= HOSTS:
+                yield give()
+                held.clear()
+    yield give()
 
 
 def _fold_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +512,7 @@ def _fold_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, form): the wrapper of each host."""
-    forms = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_forms, "host string, form string").groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"))
+    forms = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_forms, "host string, form string").distinct()
     salted = forms.withColumn("salt", F.pmod(F.hash("form"), F.lit(SALTS))).select("host", "salt", "form")
     part = salted.groupBy("host", "salt").applyInArrow(_fold_forms, "host string, form string")
     return part.groupBy("host").applyInArrow(_fold_forms, "host string, form string")
@@ -392,12 +523,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def paths(batches):
         for batch in batches:
-            found = [json.dumps(main_path(Node.unpack(json.loads(f)))) for f in batch.column(1).to_pylist()]
+            forms = [Node.unpack(json.loads(f)) for f in batch.column(1).to_pylist()]
+            found = [json.dumps([path := main_path(x), constants(x, path)]) for x in forms]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     def read(batches):
         for batch in batches:
-            texts = [extract(h or "", json.loads(p)) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(h or "", *json.loads(p)) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rule = common.materialize(wrappers(pages).mapInArrow(paths, "host string, path string"), "wrappers")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import random
 import textwrap
 from collections import Counter
 
@@ -157,6 +158,24 @@ def test_html_extraction(spark):
     assert html_extract.main_texts(df.where("false")).count() == 0
 
 
+def test_hosts_without_semantic_tags(spark):
+    """Plain divs, with classes and without, beside hosts of one page and of equal pages."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        title, text, more = say(4), say(60), say(50 + k)
+        for host, (a, b, c) in enumerate(((" class='c1'", " class='c2'", " class='c3'"), ("", "", ""))):
+            body = f"<div{b}><h1>{title}</h1><p>Read on.</p><p>{text}</p><p>{more}</p></div>"
+            recent = f"<div class='c4'><p>{say(3)}</p></div>" if not host else ""
+            rows.append((100 * host + k, f"http://plain{host}.org/{k}", f"<html><body><div{a}><ul><li>Home<li>Products</ul></div>{body}{recent}<div{c}>All rights are ours. <p>Imprint</p></div></body></html>"))
+            want[100 * host + k] = f"{title}\nRead on.\n{text}\n{more}"
+    rows += [(300 + k, f"http://equal.org/{k}", "<div>Home</div><div>Text</div>") for k in range(2)] + [(400, "http://single.org/", "<div>Home</div><div>Text</div>")]
+    want.update({300: "Home\nText", 301: "Home\nText", 400: "Home\nText"})
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html_extract.main_texts(df).collect()} == want
+
+
 def test_words_of_sections_are_not_furniture():
     page = """<body><div class="site-header">Site</div><article><h1>T</h1><section id='discussion'><h2 id='side-effects'>Side effects</h2><p>d</p></section>
 <div class='legal-analysis'>law</div><div class='article-header'>lead</div><p title="a hidden gem">gem</p><p data-id='menu'>dish</p><p data-x="1" hidden>no</p>
