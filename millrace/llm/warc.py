@@ -129,8 +129,8 @@ def parse(data: bytes, at: int, last: int | None = None) -> Record:
     return Record(at, end + 4, headers, http, block)
 
 
-def _member(data: bytes, at: int) -> tuple[Record, int]:
-    """The record of the gzip member at an offset, and where the member ends."""
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records and gaps of the gzip member at an offset, all with the member's place, and where it ends."""
     work = zlib.decompressobj(31)
     try:
         raw = work.decompress(data[at:])
@@ -138,33 +138,35 @@ def _member(data: bytes, at: int) -> tuple[Record, int]:
         raise Broken(f"gzip: {e}") from e
     if not work.eof:
         raise Broken("gzip member cut off")
-    record = parse(raw, 0)
     end = len(data) - len(work.unused_data)
-    return record._replace(offset=at, end=end), end
+    found = list(records(raw, packed=False))
+    if not any(isinstance(x, Record) for x in found):
+        raise Broken(found[0].reason if found else "empty gzip member")
+    return [x._replace(offset=at, end=end) if isinstance(x, Record) else Gap(at, end, f"bytes {x.offset} to {x.end} of the gzip member: {x.reason}") for x in found], end
 
 
-def records(data: bytes) -> Iterator[Record | Gap]:
-    """Records of an archive and the gaps between them, in order."""
+def records(data: bytes, packed: bool = True) -> Iterator[Record | Gap]:
+    """Records of an archive and the gaps between them, in order; packed archives may hold gzip members."""
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            if data.startswith(_MAGIC, at):
-                record, after = _member(data, at)
+            if packed and data.startswith(_MAGIC, at):
+                found, after = _member(data, at)
             else:
-                record = parse(data, at)
-                after = record.end
+                found = [parse(data, at)]
+                after = found[0].end
         except Broken as e:
             if bad is None:
                 bad, reason = at, str(e)
             line = _VERSION.search(data, at + 1)
             line = line.start() if line else len(data)
-            magic = data.find(_MAGIC, at + 1, line)
+            magic = data.find(_MAGIC, at + 1, line) if packed else -1
             at = magic if magic >= 0 else line
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
-        yield record
+        yield from found
         at = after
     if bad is not None:
         yield Gap(bad, len(data), reason)

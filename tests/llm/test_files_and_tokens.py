@@ -115,6 +115,15 @@ def test_payload_may_hold_version_lines():
     assert [r.payload for r in warc.records(data)][0] == inner
 
 
+def test_gzip_member_of_several_records():
+    raw = [raw_record(b"x" * 50, k) for k in range(4)]
+    whole = gzip.compress(b"".join(raw))
+    assert ids(list(warc.records(whole))) == (["0", "1", "2", "3"], [])
+    junk = gzip.compress(raw[0] + b"junk\r\n" + raw[1] + b"rest") + gzip.compress(raw[2])
+    found, gaps = ids(list(warc.records(junk)))
+    assert found == ["0", "1", "2"] and len(gaps) == 2
+
+
 def test_warc_round_trip(spark):
     big, big2 = "<p>é</p>" * 200, "z" * 1000
     rows = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "u", big2), (3, "u", big2), (4, "u v\r\nx", "z" * 999), (5, "u", "z" * 999), (6, "u", None), (7, "u", ""), (None, "u", big2), (8, "u", "WARC/1.1\r\n\r\n" * 200)]
