@@ -11,14 +11,17 @@ made the two tokens. `pair_ok` walks the two merge trees along the border; resul
 Vocabulary files are JSON files of the tokenizers library with a byte-level pre-tokenizer. Their path is a
 parameter; in a cluster it must exist on every executor, as the library itself does.
 
-Nulls: a null text is encoded as an empty text. Empty texts give no ids. Repeated rows give repeated
-results; columns of the input other than the id and the text are not carried on unless asked for.
+A null text is encoded as an empty text; empty texts give no ids; null ids stay null. Texts of any length are
+encoded whole, a piece at a time; any number of special tokens is cut out in one pass. Repeated rows give
+repeated results; an empty table gives an empty one. Only the id and the text are read, so other columns, also
+such with the names of results, change nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,12 +50,20 @@ def _byte_alphabet() -> dict[str, int]:
 
 #: White space of Unicode (property White_Space): fixed values.
 WHITE_SPACE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and numbers that Unicode 16.0 added (first and last code points): fixed values. The tokenizers library
+#: knows them, the interpreter's tables (15.1) may not.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, as of Unicode 16.0."""
     import unicodedata
 
     out = np.full(0x110000, OTHER, np.uint8)
@@ -62,6 +73,9 @@ def _classes() -> np.ndarray:
             out[c] = LETTER
         elif kind == "N":
             out[c] = NUMBER
+    for ranges, kind in ((LETTERS_16, LETTER), (NUMBERS_16, NUMBER)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     out[list(WHITE_SPACE)] = SPACE
     return out
 
@@ -118,7 +132,13 @@ class Encoder:
         alphabet = _byte_alphabet()
         vocab = spec["model"]["vocab"]
         raw = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("special tokens that strip or need whole words are not supported")
+        self.special = {t["content"]: t["id"] for t in added}
+        # of special tokens that begin at the same place the longest counts
+        self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._special_ids = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
         self.tokens: list[bytes] = [raw.get(i, b"") for i in range(max([*raw, *self.special.values()]) + 1)]
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
@@ -214,16 +234,12 @@ class Encoder:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        if any(s in t for s in self.special for t in texts):
-            return [self._with_special(t) for t in texts]
-        return self._plain(texts)
-
-    def _with_special(self, text: str) -> bytes:
-        at = [(text.find(s), -len(s), s) for s in self.special if s in text]
-        if not at:
-            return self._plain([text])[0]
-        where, _, s = min(at)
-        return self._plain([text[:where]])[0] + np.array([self.special[s]], "<u4").tobytes() + self._with_special(text[where + len(s) :])
+        if self._specials is None or not any(map(self._specials.search, texts)):
+            return self._plain(texts)
+        # special tokens cut a text into parts; the parts of all texts are encoded at once
+        parts = [self._specials.split(t) for t in texts]  # plain and special parts take turns
+        plain = iter(self._plain([p for cut in parts for p in cut[::2]]))
+        return [b"".join(self._special_ids[p] if k % 2 else next(plain) for k, p in enumerate(cut)) for cut in parts]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)

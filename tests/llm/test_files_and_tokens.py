@@ -38,6 +38,28 @@ def test_bpe_equals_library(spark, library):
     assert enc.decode(np.array([64, 50256, 100])).decode() == library.decode([64, 50256, 100], skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_random_texts(library):
+    """20,000 random texts, among them letters of recent Unicode versions and special tokens."""
+    rng = random.Random(9)
+    bits = ["<|endoftext|>", "<|endoftext|", "'s", "'ll", " ", "  ", "\n", "\t", "\u1c89", "\ua7cb", "\U00010d40", "\U00016d41", "é", "ß", "中", "🙂", "\u0301", "٣", "Ⅷ", "a", "The", "ing", "1", "!", "'", "\u3000", "\x85"]
+    some = lambda: chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(128), rng.randrange(0x1C80, 0x1CC0)]))
+    all_texts = ["".join(rng.choice(bits) if rng.random() < 0.7 else some() for _ in range(rng.randint(0, 24))) for _ in range(20_000)]
+    all_texts += ["<|endoftext|>" * 10_000, "a <|endoftext|>" * 5_000, "\u1c89x"]
+    enc = bpe.encoder(bpe.default_vocabulary())
+    for t, p, w in zip(all_texts, enc.encode_packed(all_texts), library.encode_batch(all_texts, add_special_tokens=False)):
+        assert np.frombuffer(p, "<u4").tolist() == w.ids, t[:60]
+
+
+def test_bpe_classes_of_all_code_points(library):
+    """A letter stays with a letter and a number with a number before it, as the library splits them."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for first in "a1":
+        text = "\n".join(first + chr(c) for c in points)
+        want = {span[0] for _, span in library.pre_tokenizer.pre_tokenize_str(text)}
+        got = bpe.split_points(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.zeros(1, np.int64))
+        assert set(got.tolist()) == want
+
+
 def test_bpe_query(spark, library):
     rows = [(k, t, "x") for k, t in enumerate(ODD)] + [(None, "q", "x"), (3, None, "x"), (3, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
