@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, common, decontaminate, embedding_dedup, html_extract, jaccard_join, licenses, quality_crf, token_counts, toxicity, warc
 
@@ -25,7 +26,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     warc.write(common.table(spark, sf_dir, "pages"), path)
-    return warc.salvage(spark, path).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.salvage(spark, path)
+    lost = F.raise_error(F.concat(F.lit("a gap in "), "path", F.lit(": "), "reason"))  # written whole, so read whole
+    return found.select(F.when(F.col("kind") == "gap", lost.cast("long")).otherwise(F.col("page_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

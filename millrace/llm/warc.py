@@ -1,18 +1,20 @@
-"""WARC archives: a writer in DataFrame functions and a salvage reader.
+"""WARC archives: a writer and a salvage reader.
 
-write() makes one record per page. Records with equal payloads of at least `REVISIT_BYTES` bytes are stored
-once, as the response of the page with the largest id; the others become revisit records that refer to it and
-keep the HTTP header. Archives are plain .warc text: the file source writes each record followed by the two
-line ends that close a WARC record. Files hold at most `RECORDS_PER_FILE` records.
+write() makes one record per page, each a gzip member of its own. Records with equal payloads of at least
+`REVISIT_BYTES` bytes are stored once, as the response of the page with the largest id; the others become revisit
+records that refer to it and keep the HTTP header. Repeated payloads are found by their digests alone: the
+`HOT_PAYLOADS` commonest ones are broadcast, what there is beyond joins by digest, so html moves only for those.
+Files hold about `FILE_ROWS` times `CHUNK` compressed bytes at most, unless single records are longer.
 
-salvage() reads archives, plain or with one gzip member per record. A record must have a version line, a
-header with a content length, a block of that length closed by two line ends, and the payload digest that its
-header states. If a check fails, the reader searches for the next gzip member or version line at which a
-whole record can be read, goes on there, and logs the bytes in between as a quarantined gap.
+salvage() reads archives, plain or packed in gzip members of one or more records. A record must have a version
+line, a header with a content length, a block of that length closed by two line ends, and the payload digest
+that its header states. If a check fails, the reader searches for the next gzip member or version line at which
+a whole record can be read, goes on there, and logs the bytes in between as a quarantined gap. A file is read by
+one task as one row, so it must be smaller than 2 GB, the limit of Spark's binary source.
 
 Null html is an empty payload. Null ids write no id and read back as null; they are never referred to. Rows
-that repeat a page are records of their own; all rows of the largest id stay responses. Other columns are
-ignored. An empty table gives no records.
+that repeat a page are records of their own; all rows of the largest id stay responses. Payloads of any length
+are kept whole. Other columns, also such with the names of results, are ignored. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -28,8 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import common
+
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 2048
+#: Repeated payloads that are broadcast: rows of a digest and an id.
+HOT_PAYLOADS = 100_000
+#: Compressed bytes of a row of an archive, and rows of a file.
+CHUNK, FILE_ROWS = 1 << 20, 64
+#: Effort of compression, and the size from which a member's last byte is not zero.
+LEVEL, LARGE_RECORD = 4, 1 << 24
+#: Compressed bytes that are looked at first for the end of a member.
+PIECE = 1 << 14
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Header fields that a record states once; a second one is another record's.
@@ -41,14 +52,20 @@ def classified(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, bytes, digest, target): target is the id of the response that a page repeats."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
-    twice = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    out = rows.join(twice, "digest", "left")
-    return out.withColumn("target", F.when((F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")))
-
-
-def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes a record per page below path."""
-    rows = classified(pages)
+    seen = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    twice = common.materialize(seen.where("n > 1"), "repeats")
+    more = twice.count() > HOT_PAYLOADS
+    hot = twice.orderBy(F.desc("n"), "digest").limit(HOT_PAYLOADS) if more else twice
+    out = rows.join(F.broadcast(hot.select("digest", "most")), "digest", "left")
+    if more:
+        rest = out.where("most is null and bytes >= {n}".format(n=REVISIT_BYTES)).drop("most").join(twice.select("digest", "most"), "digest", "left")
+        out = out.where("most is not null or bytes < {n}".format(n=REVISIT_BYTES)).unionByName(rest)
+    repeats = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("most"))
+    return out.withColumn("target", F.when(repeats, F.col("most"))).drop("most")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """One column: the record of each row of classified() as bytes."""
     revisit = F.col("target").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("bytes").cast("string")), F.lit("\r\n"))
@@ -66,8 +83,33 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
         line("Content-Length", size.cast("string")),
         F.lit("\r\n"),
     )
-    record = F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    return rows.select(F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")), F.lit("\r\n\r\n")).cast("binary").alias("record"))
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member that ends with a zero byte; very long ones are followed by an empty member."""
+    out = gzip.compress(record, LEVEL, mtime=0)
+    return out if len(record) < LARGE_RECORD else out + gzip.compress(b"", mtime=0)
+
+
+def write(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Writes a record per page below path."""
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                held.append(member(record.as_py()))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["members"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["members"])
+
+    packed = _records(classified(pages)).mapInArrow(pack, "members binary")
+    # the text source writes bytes as they are; the zero byte after each row is the last one of its last member
+    packed.select(F.col("members").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_rows).text(path)
 
 
 class Record(NamedTuple):
@@ -129,25 +171,32 @@ def parse(data: bytes, at: int, last: int | None = None) -> Record:
     return Record(at, end + 4, headers, http, block)
 
 
-def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
-    """The records and gaps of the gzip member at an offset, all with the member's place, and where it ends."""
-    work = zlib.decompressobj(31)
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
+    """What the gzip member at an offset holds, and where it ends; reads ahead in pieces."""
+    work, out, step, view = zlib.decompressobj(31), [], PIECE, memoryview(data)
     try:
-        raw = work.decompress(data[at:])
+        while not work.eof and at < len(data):
+            out.append(work.decompress(view[at : at + step]))
+            at, step = min(at + step, len(data)), step * 2
     except zlib.error as e:
         raise Broken(f"gzip: {e}") from e
     if not work.eof:
         raise Broken("gzip member cut off")
-    end = len(data) - len(work.unused_data)
+    return b"".join(out), at - len(work.unused_data)
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """The records and gaps of the gzip member at an offset, all with the member's place, and where it ends."""
+    raw, end = _unpacked(data, at)
     found = list(records(raw, packed=False))
-    if not any(isinstance(x, Record) for x in found):
-        raise Broken(found[0].reason if found else "empty gzip member")
+    if found and not any(isinstance(x, Record) for x in found):
+        raise Broken(found[0].reason)
     return [x._replace(offset=at, end=end) if isinstance(x, Record) else Gap(at, end, f"bytes {x.offset} to {x.end} of the gzip member: {x.reason}") for x in found], end
 
 
 def records(data: bytes, packed: bool = True) -> Iterator[Record | Gap]:
     """Records of an archive and the gaps between them, in order; packed archives may hold gzip members."""
-    at, bad, reason = 0, None, ""
+    at, bad, reason, line = 0, None, "", -1
     while at < len(data):
         try:
             if packed and data.startswith(_MAGIC, at):
@@ -158,8 +207,9 @@ def records(data: bytes, packed: bool = True) -> Iterator[Record | Gap]:
         except Broken as e:
             if bad is None:
                 bad, reason = at, str(e)
-            line = _VERSION.search(data, at + 1)
-            line = line.start() if line else len(data)
+            if line <= at:  # the next version line is searched for once
+                line = _VERSION.search(data, at + 1)
+                line = line.start() if line else len(data)
             magic = data.find(_MAGIC, at + 1, line) if packed else -1
             at = magic if magic >= 0 else line
             continue
@@ -194,7 +244,6 @@ def _row(path: str, x: Record | Gap, payload: bool):
 
 def salvage(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """A row per record (kind 'record') and per quarantined gap (kind 'gap') of the archives below path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
     names = [*_NAMES, *(["payload"] if payload else [])]
     schema = _SCHEMA + (", payload binary" if payload else "")
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}

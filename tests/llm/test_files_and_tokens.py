@@ -146,12 +146,25 @@ def test_gzip_member_of_several_records():
     assert found == ["0", "1", "2"] and len(gaps) == 2
 
 
-def test_warc_round_trip(spark):
+def test_damage_among_many_members():
+    """Long records, an empty member and thousands of false starts are read in linear time."""
+    raws = [raw_record(os.urandom(200_000), 1), raw_record(b"y", 2)]
+    data = warc.member(raws[0]) + gzip.compress(b"", mtime=0) + b"\x1f\x8b\x08junk" * 20_000 + warc.member(raws[1])
+    got, gaps = ids(list(warc.records(data)))
+    assert got == ["1", "2"] and len(gaps) == 1
+    big = warc.member(raw_record(b"x" * (1 << 24), 3))
+    assert big[-1] == 0 and ids(list(warc.records(big + warc.member(raws[1])))) == (["3", "2"], [])
+
+
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_warc_round_trip(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", hot)
     big, big2 = "<p>é</p>" * 200, "z" * 1000
     rows = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "u", big2), (3, "u", big2), (4, "u v\r\nx", "z" * 999), (5, "u", "z" * 999), (6, "u", None), (7, "u", ""), (None, "u", big2), (8, "u", "WARC/1.1\r\n\r\n" * 200)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     path = common.scratch(spark, "warc-test")
-    warc.write(df, path)
+    monkeypatch.setattr(warc, "CHUNK", 300)
+    warc.write(df, path, file_rows=2)
     found = warc.salvage(spark, path, payload=True).collect()
     assert all(r["kind"] == "record" for r in found) and len(found) == len(rows)
     want = Counter()
