@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now; else they stay until the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -270,32 +277,47 @@ def _settled(edges: DataFrame) -> bool:
     return not many.union(deep).limit(1).count()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Nodes with most neighbours, which are broadcast; the neighbours of any other are 2 * edges / HOT_NODES at most.
+HOT_NODES = 1 << 16
+#: Rows of a node below which it is never hot.
+LEAST_HOT = 256
+
+
+def beside_least(both: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """both (a, b) with the columns of least (a, n, ...): n counts the rows of a in both.
+
+    Of the nodes with more than a certain number of rows there are at most HOT_NODES: they are broadcast, so that
+    no task gets all rows of one node.
+    """
+    bound = max(LEAST_HOT, 2 * edges // HOT_NODES)
+    hot = least.where(F.col("n") > bound).withColumn("hot", F.lit(True))
+    marked = both.join(F.broadcast(hot), "a", "left")
+    return marked.where("hot is null").select("a", "b").join(least.where(F.col("n") <= bound), "a").drop("n").unionByName(marked.where("hot").drop("n", "hot"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b: long); component is the least node reachable.
 
-    Alternates the large-star and small-star steps, each on partitions that are first contracted to
-    forests. Every round is written to the shared folder, so no lineage grows and a lost executor costs
-    one round. Edges with nulls are ignored. No edges give no rows.
+    Alternates the large-star and small-star steps, each on partitions that are first contracted to forests,
+    until every node has the root of its component as its only parent; so many rounds as it takes, about the
+    logarithm of the longest path. Every round is written to the shared folder, so no lineage grows and a lost
+    executor costs one round. Edges with nulls are ignored. No edges give no rows.
     """
-    spark = edges.sparkSession
     if edges.columns != ["a", "b"]:
         raise ValueError("edges need the columns a and b")
     clean = edges.where("a is not null and b is not null and a <> b")
     now = materialize(clean.mapInArrow(_contract, "a long, b long"), "cc")
-    for _ in range(rounds):
-        if _settled(now):
-            break
+    while not _settled(now):
+        count = now.count()
         both = now.union(now.select("b", "a")).toDF("a", "b")
         # large star: larger neighbours of a node point to the least of its neighbourhood
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        down = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        down = materialize(beside_least(both.where("b > a"), least, count).selectExpr("b a", "m b"), "star")
         # small star: a node's smaller neighbours and the node itself point to the least of them
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = materialize(small, "cc")
-        discard(now)
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = beside_least(down, least, count).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        new = materialize(small.mapInArrow(_contract, "a long, b long"), "cc")
+        discard(now, down)
         now = new
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.toDF("node", "component").unionByName(roots)

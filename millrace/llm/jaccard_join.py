@@ -5,26 +5,31 @@ With sizes a and b this is 7 * |A & B| >= 3 * (a + b), and every partner holds a
 shingles. The steps:
 
 1. Classes. Documents with equal sets form a class, named by a 64-bit digest of its set. Only classes are
-   searched, so copies are never expanded into pairs.
-2. Shared shingles. Shingles meet in hash buckets, as packed arrays; one entry for each shingle and block of
-   documents suffices, since repeats within a block are seen there. A class in which less than 3/4 of the
-   shingles occur elsewhere has no partner. The step runs once over blocks of texts and again over classes.
+   searched, so copies are never expanded into pairs. A block of texts carries each class once, with its ids.
+2. Shared shingles. Shingles meet in hash buckets, as packed arrays; a bucket tells the blocks which of their
+   shingles other classes hold, too. A class of which less than 3/4 do has no partner and is left out. Texts are
+   cut into shingles once, here; this is the only step in which all shingles move.
 3. Coarse groups. In a common order (counts of a fixed-size sketch, then hash) two partners share a shingle
    among the first a - ceil(3a/4) + 1 of each. Connected components over these shingles bound the search.
-4. T-occurrence search (DivideSkip). Within a group the lists of a query's shingles are sorted by length.
-   The longest are set aside; the short ones are merged and the documents counted that reach T less the
-   number of long lists; those are looked up in the long lists by binary search. Links join components.
-5. Groups above `LARGE` are first collapsed around hubs by a distributed comparison. What no hub reached is
-   searched against the whole group in blocks. No pair of different texts is lost at any size.
+4. T-occurrence search (DivideSkip). Within a block of a group the lists of a query's shingles are sorted by
+   length. The longest are set aside; the short ones are merged by a heap (very many postings by merging sorted
+   runs) and the documents counted that reach T less the number of long lists; those are looked up in the long
+   lists by binary search.
+5. A group is cut into blocks of at most about `BLOCK` postings. Every block is searched; one member of each
+   component found in a block goes on to the next round, until the members that are left fit into one block.
+   What these links have not joined to the group's main component is then searched against the whole group, by
+   pairs of blocks. So a task holds two blocks at most, and no link between different texts is lost at any size.
 
 Shingles are compared by 64-bit hashes. Words are runs without ASCII white space, A-Z in lower case.
 Null and empty texts have no shingles and link with nothing. Texts of fewer than five words are one shingle.
-Null ids keep their rows and never name a component. Repeated rows give repeated rows. Other columns of the
-input are ignored. An empty table gives an empty result.
+Very long texts are cut whole; a text is the least that a task holds. Null ids keep their rows and never name a
+component. Repeated rows give repeated rows. Other columns of the input, also such with the names of results, are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +41,13 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 WORDS = 5
-#: Postings that a block of the shared-shingle step holds at once.
+#: Postings that a block holds; more where there are so many texts that the buckets' shares would be tiny.
 BLOCK = 3 << 18
-#: Members beyond which a coarse group is searched in blocks; rounds of hubs before that.
-LARGE = 1500
-HUB_ROUNDS = 5
+#: Bytes of text for each shingle, as a guess for the number of buckets.
+SHINGLE_BYTES = 6
 SKETCH_BITS = 19
+#: Postings up to which short lists are merged by a heap.
+HEAP = 1 << 11
 #: Share of DivideSkip's long lists: T / (MU * log2(longest list) + 1).
 MU = 0.5
 
@@ -78,23 +84,9 @@ def set_digests(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), common.binary(batch.column(1)))
-        for part in common.chunks(rows, lambda r: len(r[1] or b"")):
-            g, n = shingle_sets([r[1] or b"" for r in part])
-            node = set_digests(g, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(node, mask=n == 0), pa.array(n)], ["doc_id", "node", "n_shingles"])
-
-
-def class_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles) of every row; node is null where there are no shingles."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_classes, "doc_id long, node long, n_shingles long")
-
-
 # Shared shingles -------------------------------------------------------------------------------------
 
-_BLOB = "key long, block long, kind int, a binary, b binary"
+_BLOB = "key long, block long, kind int, a binary, b binary, c binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -119,130 +111,147 @@ def unpack(raw: bytes) -> np.ndarray:
 class _Block:
     """Classes of some documents, until they are enough to be sent off."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, buckets: int, limit: int):
+        self.buckets, self.limit, self.parts, self.size = buckets, limit, [], 0
         self.name = TaskContext.get().partitionId() << 32  # a retried task gives its blocks the same names
 
-    def add(self, node: np.ndarray, n: np.ndarray, g: np.ndarray, held: np.ndarray) -> None:
-        """held: how many entries of g belong to each node; n: sizes of the full sets."""
-        self.parts.append((node, n, g, held))
-        self.size += len(g)
+    def add(self, ids: list, texts: list[bytes]) -> None:
+        g, n = shingle_sets(texts)
+        unknown = np.array([i is None for i in ids], bool)
+        self.parts.append((np.array([i or 0 for i in ids], np.int64), unknown, set_digests(g, n).view(np.int64), n, g))
+        self.size += len(g) + len(ids)
+
+    def full(self) -> bool:
+        return self.size >= self.limit
 
     def rows(self) -> pa.RecordBatch:
-        node, n, g, held = (np.concatenate(x) for x in zip(*self.parts))
+        ids, unknown, node, n, g = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
-        _, keep = np.unique(node, return_index=True)  # equal sets of the block count once
+        # documents by class; texts without shingles have the digest 0 and come as a class of their own
+        known, keep, member, times = np.unique(np.where(n > 0, node, 0), return_index=True, return_inverse=True, return_counts=True)
+        lost = np.bincount(member, unknown, len(known)).astype(np.int64)
+        order = np.lexsort((unknown, member))
         chosen = np.zeros(len(node), bool)
-        chosen[keep] = True
-        g = g[np.repeat(chosen, held)]
-        node, n, held = node[chosen], n[chosen], held[chosen]
-        at = np.repeat(np.arange(len(node), dtype=np.int32), held)
-        order = np.argsort(g, kind="stable")
-        g, at = g[order], at[order]
+        chosen[keep] = True  # equal sets of the block count once
+        g = g[np.repeat(chosen, n)]
+        rank = np.empty(len(node), np.int32)
+        rank[keep] = np.arange(len(keep))
+        at = np.repeat(rank[chosen], n[chosen])
+        by = np.argsort(g, kind="stable")
+        g, at = g[by], at[by]
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(g)))
         many = np.repeat(count > 1, count)
         block, self.name = self.name, self.name + 1
-        # kind 0: what goes straight back to the block: its classes, and shingles that it repeats itself
-        out = [(block, block, 0, np.stack([node, n]).tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]))]
+        # kinds 0 and 1 go straight back to the block: its classes with their ids, and shingles of several of its classes
+        out = [(block, block, 0, np.stack([known, n[keep], times, lost]).tobytes(), ids[order].tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]), b"")]
         uniq, owner = g[first], np.where(count > 1, -1, at[first]).astype(np.int32)
         cut = np.searchsorted((uniq >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), np.arange(self.buckets + 1))
         for k in range(self.buckets):
             lo, hi = cut[k], cut[k + 1]
             if lo < hi:
-                out.append((k, block, 2, pack(uniq[lo:hi]), _planes(owner[lo:hi] + np.int32(1))))
+                some, place = np.unique(owner[lo:hi], return_inverse=True)
+                some = some[some >= 0]
+                place = place + (1 if len(some) and owner[lo:hi].min() >= 0 else 0)  # 0: several classes
+                out.append((k, block, 2, pack(uniq[lo:hi]), _planes((place * (len(some) > 0)).astype(np.uint16 if len(some) < 65535 else np.uint32)), some.astype(np.int32).tobytes() + known[some].tobytes()))
         cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["key", "block", "kind", "a", "b"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "block", "kind", "a", "b", "c"])
+
+
+def _owners(raw: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's share in a bucket: each shingle's place among the owners (0: several), the owners and their classes."""
+    some = np.frombuffer(c, np.int32, len(c) // 12)
+    return _unplanes(raw, np.uint16 if len(some) < 65535 else np.uint32), some, np.frombuffer(c, np.int64, offset=4 * len(some))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's entries: shingles of several blocks go back to the blocks that hold them once."""
-    held = [(int(b), k, a, o) for t in batches for b, k, a, o in zip(t.column("block").to_pylist(), t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist())]
-    out = [(b, k, a, o) for b, k, a, o in held if k < 2]
+    """A bucket's entries: shingles of several classes go back to the blocks that hold them once."""
+    held = [x for t in batches for x in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "a", "b", "c")))]
+    out = [x[:4] for x in held if x[1] < 2]
     held = [x for x in held if x[1] == 2]
     if held:
-        g = np.concatenate([unpack(a) for _, _, a, _ in held])
-        owner = np.concatenate([_unplanes(o, np.int32) for _, _, _, o in held]) - np.int32(1)
-        src = np.repeat(np.arange(len(held)), [len(a) // 8 for _, _, a, _ in held])
+        g = np.concatenate([unpack(x[2]) for x in held])
+        size = np.array([len(x[2]) // 8 for x in held])
+        place, node, most = np.empty(len(g), np.uint32), np.empty(len(g), np.int64), np.iinfo(np.int64)
+        stop = np.cumsum(size)
+        for (_, _, _, b, c), hi, k in zip(held, stop, size):
+            place[hi - k : hi], _, known = _owners(b, c)
+            node[hi - k : hi] = np.append(most.min, known)[place[hi - k : hi]]
         order = np.argsort(g, kind="stable")
         s = g[order]
-        twin = np.zeros(len(s), bool)
-        same = s[1:] == s[:-1]
-        twin[1:] = same
-        twin[:-1] |= same
-        back = np.zeros(len(g), bool)
-        back[order] = twin
-        back &= owner >= 0
-        pick = np.flatnonzero(back)
-        cut = np.searchsorted(src[pick], np.arange(len(held) + 1))
-        for k, (b, _, _, _) in enumerate(held):
-            p = pick[cut[k] : cut[k + 1]]
-            if len(p):
-                out.append((b, 1, pack(g[p]), _planes(owner[p])))
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        low, high = (f.reduceat(node[order], first) for f in (np.minimum, np.maximum))
+        shared = (low != high) | (low == most.min)  # the least value stands for several classes of a block
+        back = np.empty(len(g), bool)
+        back[order] = np.repeat(shared, np.diff(np.append(first, len(s))))
+        back &= place > 0
+        for (block, _, _, _, c), hi, k in zip(held, stop, size):
+            pick = np.flatnonzero(back[hi - k : hi]) + hi - k
+            if len(pick):
+                some = np.frombuffer(c, np.int32, len(c) // 12)
+                out.append((block, 1, pack(g[pick]), _planes(some[place[pick] - 1])))
     for low in range(0, len(out), 64):
         cols = list(zip(*out[low : low + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "a", "b"])
     common.release()
 
 
+_SETS = "node long, block long, n long, ids array<long>, toks binary"
+
+
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's classes of whose shingles at least 3/4 occur in other classes, with those shingles."""
-    rows = [(k, a, b) for t in batches for k, a, b in zip(t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist())]
-    head = np.frombuffer(next(a for k, a, _ in rows if k == 0), np.int64).reshape(2, -1)
-    node, n = head
-    g = np.concatenate([unpack(a) for k, a, _ in rows if k == 1])
-    at = np.concatenate([_unplanes(b, np.int32) for k, _, b in rows if k == 1])
-    ok = 4 * np.bincount(at, minlength=len(node)) >= 3 * n
+    """A block's classes with their documents; with the shared shingles where those are at least 3/4 of the set."""
+    rows = [x for t in batches for x in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "a", "b")))]
+    block, _, head, raw = next(x for x in rows if x[1] == 0)
+    node, n, times, lost = np.frombuffer(head, np.int64).reshape(4, -1)
+    ids, stop = np.frombuffer(raw, np.int64), np.cumsum(times)
+    g = np.concatenate([unpack(a) for _, k, a, _ in rows if k == 1])
+    at = np.concatenate([_unplanes(b, np.int32) for _, k, _, b in rows if k == 1])
+    ok = (4 * np.bincount(at, minlength=len(node)) >= 3 * n) & (n > 0)
     keep = ok[at]
     g, at = g[keep], at[keep]
     order = np.lexsort((g, at))
     g, at = g[order], at[order]
-    some = np.flatnonzero(ok)
-    cut = np.searchsorted(at, np.append(some, len(node)))
-    for low in range(0, len(some), 256):
-        part = some[low : low + 256]
+    cut = np.searchsorted(at, np.arange(len(node) + 1))
+    for low in range(0, len(node), 256):
+        part = range(low, min(low + 256, len(node)))
+        own = [ids[stop[k] - times[k] : stop[k] - lost[k]].tolist() + [None] * int(lost[k]) for k in part]
+        toks = [pack(g[cut[k] : cut[k + 1]]) if ok[k] else None for k in part]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[part]), pa.array(n[part]), pa.array([g[cut[low + k] : cut[low + k + 1]].tobytes() for k in range(len(part))], pa.binary())],
-            ["node", "n", "toks"],
+            [pa.array(node[low : low + 256], mask=n[low : low + 256] == 0), pa.array([block] * len(part), pa.int64()), pa.array(n[low : low + 256]), pa.array(own, pa.list_(pa.int64())), pa.array(toks, pa.binary())],
+            ["node", "block", "n", "ids", "toks"],
         )
     common.release()
 
 
-_SETS = "node long, n long, toks binary"
-
+def class_table(docs: DataFrame) -> DataFrame:
+    """(node, block, n, ids, toks): the classes of each block of texts, with their documents.
 
-def _shared(source: DataFrame, feed, buckets: int) -> DataFrame:
-    """(node, n, toks): feed(batch, block) adds the classes of a batch of source to a block."""
+    node is null for texts without shingles; toks holds the shared shingles of classes that may have partners.
+    """
+    spark = docs.sparkSession
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHINGLE_BYTES
+    limit = max(BLOCK, int((16 * total) ** 0.5))
+    buckets = max(4, int(total) // (2 * limit) + 1)
 
     def send(batches):
-        block = _Block(buckets)
+        block = _Block(buckets, limit)
         for batch in batches:
-            for _ in feed(batch, block):
-                if block.size >= BLOCK:
+            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1))), lambda r: len(r[1] or b"")):
+                block.add([r[0] for r in part], [r[1] or b"" for r in part])
+                if block.full():
                     yield block.rows()
         if block.parts:
             yield block.rows()
 
-    sent = source.mapInArrow(send, _BLOB)
+    sent = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(send, _BLOB)
     back = sent.groupBy("key").applyInArrow(_meet, "block long, kind int, a binary, b binary")
-    return back.groupBy("block").applyInArrow(_survivors, _SETS)
-
-
-def _feed_texts(batch, block):
-    for part in common.chunks((t for t in common.binary(batch.column(0)) if t), len):
-        g, n = shingle_sets(part)
-        some = n > 0
-        block.add(set_digests(g, n).view(np.int64)[some], n[some], g, n[some])
-        yield
-
-
-def _feed_sets(batch, block):
-    for node, n, toks in zip(*(batch.column(k).to_pylist() for k in range(3))):
-        g = np.frombuffer(toks, np.uint64)
-        block.add(np.array([node]), np.array([n]), g, np.array([len(g)]))
-        yield
+    out = common.materialize(back.groupBy("block").applyInArrow(_survivors, _SETS), "classes")
+    common.release_shuffles(spark)
+    return out
 
 
 # Coarse groups ---------------------------------------------------------------------------------------
@@ -256,7 +265,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         total = np.zeros(slots, np.int64)
         for batch in batches:
             for toks in batch.column(0).to_pylist():
-                slot = (np.frombuffer(toks, np.uint64) & np.uint64(slots - 1)).astype(np.int64)
+                slot = (unpack(toks) & np.uint64(slots - 1)).astype(np.int64)
                 np.add.at(total, slot, 1)
         some = np.flatnonzero(total)
         for low in range(0, len(some), 1 << 16):
@@ -287,16 +296,17 @@ def coarse_groups(sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             nodes, toks = [], []
-            for node, n, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                p = prefix(np.frombuffer(t, np.uint64), n, shared.value)
+            for node, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "toks"))):
+                p = prefix(unpack(t), n, shared.value)
                 nodes.append(np.full(len(p), node))
                 toks.append(p.view(np.int64))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(nodes))], ["tok", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(nodes))], ["a", "b"])
 
-    posts = sets.mapInArrow(run, "tok long, node long")
-    hubs = posts.groupBy("tok").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("tok", "hub")
-    edges = posts.join(hubs, "tok").where("node <> hub").selectExpr("node a", "hub b").distinct()
+    posts = sets.mapInArrow(run, "a long, b long")
+    hubs = posts.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("far"), F.count(F.lit(1)).alias("n")).where("m < far").select("a", "m", "n")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    edges = common.beside_least(posts, hubs, total // 4).where("b <> m").selectExpr("b a", "m b").distinct()
     return common.connected_components(edges).toDF("node", "grp")
 
 
@@ -327,8 +337,11 @@ class Lists:
         k, size = k[order], size[order]
         n_long = min(need - 1, int(need / (MU * np.log2(max(2, size[0])) + 1)))
         short = k[n_long:]
-        # the lists are sorted runs; a stable sort merges runs
-        merged = np.sort(np.concatenate([self.of[self.cut[i] : self.cut[i + 1]] for i in short]), kind="stable")
+        runs = [self.of[self.cut[i] : self.cut[i + 1]] for i in short]
+        if size[n_long:].sum() <= HEAP:
+            merged = np.array(list(heapq.merge(*(r.tolist() for r in runs))), np.int32)
+        else:  # a stable sort merges sorted runs
+            merged = np.sort(np.concatenate(runs), kind="stable")
         turn = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
         seen, count = merged[turn], np.diff(np.append(turn, len(merged)))
         full = -(-3 * (n + self.n[seen]) // 7)
@@ -367,122 +380,131 @@ def search(n: np.ndarray, sets: list[np.ndarray], ask: np.ndarray | None = None)
     return x[x != y], y[x != y]
 
 
-_LINK = "a long, b long"
+_FOUND = "a long, b long, grp long, n long, toks binary"
 
 
 def _link_batch(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    u, v = common.forest(node[x], node[y]) if len(x) else (x, y)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+    u, v = common.forest(node[x], node[y]) if len(x) else (node[:0], node[:0])
+    none = pa.nulls(len(u), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none, none, pa.nulls(len(u), pa.binary())], ["a", "b", "grp", "n", "toks"])
 
 
-def _search_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in each of the groups that make up a pack."""
+def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     held = list(batches)
-    grp, node, n, toks = (np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in held]) for c in ("grp", "node", "n", "toks"))
-    order = np.lexsort((node, grp))
-    cut = np.flatnonzero(np.append(True, grp[order][1:] != grp[order][:-1]))
-    for part in np.split(order, cut[1:]):
-        if len(part) > 1:
-            x, y = search(n[part], [np.frombuffer(toks[i], np.uint64) for i in part])
+    return [np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in held]) for c in names]
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each of the blocks of groups that a task holds; of groups cut up, a member of each component."""
+    grp, part, parts, node, n, toks = _columns(batches, "grp", "part", "parts", "node", "n", "toks")
+    order = np.lexsort((node, part, grp))
+    g, p = grp[order], part[order]
+    cut = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])))
+    for own in np.split(order, cut[1:]):
+        x = y = own[:0]
+        if len(own) > 1:
+            x, y = search(n[own], [unpack(toks[i]) for i in own])
             if len(x):
-                yield _link_batch(node[part], x, y)
+                yield _link_batch(node[own], x, y)
+        if parts[own[0]] > 1:
+            child, _ = common.forest(x, y) if len(x) else (x, y)
+            rest = own[np.setdiff1d(np.arange(len(own)), child)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.nulls(len(rest), pa.int64()), pa.array(grp[rest]), pa.array(n[rest]), pa.array(toks[rest].tolist(), pa.binary())], ["a", "b", "grp", "n", "toks"])
 
 
-def _search_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the queries of a large group and one block of its members."""
-    held = list(batches)
-    node, n, toks, ask = (np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in held]) for c in ("node", "n", "toks", "ask"))
+def _search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a block of queries and a block of the members of one group."""
+    node, n, toks, ask = _columns(batches, "node", "n", "toks", "ask")
+    asked = node[ask.astype(bool)]
     node, first = np.unique(node, return_index=True)  # a query of the block is there twice
-    ask = np.isin(node, np.concatenate([t.column("node").to_numpy(zero_copy_only=False) for t in held])[ask.astype(bool)])
-    x, y = search(n[first], [np.frombuffer(toks[i], np.uint64) for i in first], np.flatnonzero(ask))
-    if len(x):
+    if len(asked) and len(node) > 1:
+        x, y = search(n[first], [unpack(toks[i]) for i in first], np.flatnonzero(np.isin(node, asked)))
         yield _link_batch(node, x, y)
 
 
-def _hub_links(batches):
-    """(grp, a, b) for rows of members beside their group's hub that link."""
-    for batch in batches:
-        out = []
-        hub = None
-        for grp, node, n, toks, hn, hub_node, htoks in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            if hub is None or hub[0] != hub_node:
-                hub = hub_node, np.frombuffer(htoks, np.uint64)
-            g = np.frombuffer(toks, np.uint64)
-            at = np.minimum(np.searchsorted(hub[1], g), len(hub[1]) - 1)
-            if node == hub_node or 7 * int((hub[1][at] == g).sum()) >= 3 * (n + hn):
-                out.append((grp, node, hub_node))
-        cols = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["grp", "a", "b"])
-
-
-def _large_links(member: DataFrame) -> DataFrame:
-    """Links within groups too large for one task; member: (grp, node, n, toks, size)."""
-    links = None
-    for _ in range(HUB_ROUNDS):
-        pool = member
-        if links is not None:
-            met = links.select("grp", F.explode(F.array("a", "b")).alias("node"))
-            pool = member.join(met, ["grp", "node"], "left_anti")
-        hub = pool.groupBy("grp").agg(F.max(F.struct("n", "node", "toks")).alias("h")).select("grp", F.col("h.n").alias("hn"), F.col("h.node").alias("hub"), F.col("h.toks").alias("ht"))
-        # a hub that links with nobody still counts as met, by a link with itself
-        found = common.materialize(member.select("grp", "node", "n", "toks").join(hub, "grp").select("grp", "node", "n", "toks", "hn", "hub", "ht").mapInArrow(_hub_links, "grp long, a long, b long"), "hub")
-        if not found.limit(1).count():
-            break
-        links = found if links is None else links.unionByName(found)
-    parts = common.connected_components(links.select("a", "b"))
-    where = member.select("grp", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _cut(member: DataFrame, by: str = "grp") -> DataFrame:
+    """member with the number of blocks of its group (parts) and its own block (part)."""
+    size = member.groupBy(by).agg(F.greatest(F.ceil(F.sum(F.length("toks")) / F.lit(8 * BLOCK)), F.lit(1)).cast("int").alias("parts"))
+    return member.join(size, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+
+
+def _rounds(member: DataFrame) -> DataFrame:
+    """Links found within blocks, round by round; member: (grp, node, n, toks, parts, part)."""
+    links, before = None, None
+    while True:
+        postings, blocks = member.agg(F.sum(F.length("toks")), F.max("parts")).first()
+        if not postings:
+            return links if links is not None else member.selectExpr("node a", "node b").where("false")
+        packs = int(postings // (8 * BLOCK)) + common.shuffle_partitions(member.sparkSession)
+        found = common.materialize(member.withColumn("pack", F.pmod(F.xxhash64("grp", "part"), F.lit(packs))).groupBy("pack").applyInArrow(_search_blocks, _FOUND), "found")
+        links = (links.unionByName if links is not None else lambda x: x)(found.where("b is not null").select("a", "b"))
+        if blocks == 1 or (before is not None and postings > before / 2):
+            return links
+        before = postings
+        member = _cut(found.where("b is null").selectExpr("grp", "a node", "n", "toks"))
+
+
+def _rest(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of the members of cut groups that are not in their group's main component, by pairs of blocks."""
+    spark = member.sparkSession
+    parts = common.connected_components(links)
+    where = member.select("grp", "node", "toks").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).selectExpr("grp", "node", "component", "length(toks) size")
     most = where.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
-    left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node"), "left")
-    blocks = F.ceil(F.col("size") / F.lit(LARGE)).cast("int")
-    index = member.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    ask = member.join(left, ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    rest = index.unionByName(ask).groupBy("grp", "block").applyInArrow(_search_block, _LINK)
-    return links.select("a", "b").unionByName(rest)
+    left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node", "size"), "left")
+    asks = left.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / F.lit(8 * BLOCK)), F.lit(1)).cast("int").alias("asks"))
+    every = member.join(asks, "grp")  # groups that are one component are done
+    index = every.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), "part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"))
+    ask = every.join(left.select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")).cast("int").alias("i"))
+    found = common.materialize(index.unionByName(ask).groupBy("grp", "i", "part").applyInArrow(_search_pairs, _FOUND).select("a", "b"), "rest")
+    common.release_shuffles(spark)
+    return found
 
 
-def class_links(docs: DataFrame, n_shingles: int) -> DataFrame:
+def class_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect all classes that similarity connects."""
-    spark = docs.sparkSession
-    buckets = max(4, int(n_shingles) // (2 * BLOCK) + 1)
-    first = common.materialize(_shared(docs.select("text"), _feed_texts, buckets), "sets")
-    once = first.dropDuplicates(["node"])
-    stat = first.agg(F.sum(F.length("toks")).alias("t")).first()
-    buckets = max(4, int(stat["t"] or 0) // 8 // (2 * BLOCK) + 1)
-    sets = common.materialize(_shared(once, _feed_sets, buckets), "sets")
-    common.discard(first)
-    groups = coarse_groups(sets)
-    member = common.materialize(sets.join(groups, "node").join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp").select("grp", "node", "n", "toks", "size"), "members")
-    common.discard(sets)
-    packs = max(1, int((member.agg(F.sum(F.length("toks"))).first()[0] or 0) // (8 * BLOCK)) * 2 + common.shuffle_partitions(spark))
-    links = member.where(F.col("size") <= LARGE).withColumn("pack", F.pmod(F.xxhash64("grp"), F.lit(packs))).groupBy("pack").applyInArrow(_search_packs, _LINK)
-    large = member.where(F.col("size") > LARGE)
+    sets = classes.where("toks is not null")
+    groups = coarse_groups(sets.select("node", "n", "toks"))
+    # blocks may hold the same class: one of them gives its shingles
+    chosen = groups.join(sets.groupBy("node").agg(F.min("block").alias("block")), "node")
+    member = common.materialize(_cut(sets.select("node", "block", "n", "toks").join(chosen, ["node", "block"]).select("grp", "node", "n", "toks")), "members")
+    common.release_shuffles(classes.sparkSession)
+    links = _rounds(member)
+    large = member.where("parts > 1")
     if large.limit(1).count():
-        links = links.unionByName(_large_links(large))
+        links = links.unionByName(_rest(large, links))
     return links
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    rows = common.materialize(class_table(docs), "classes")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = common.connected_components(class_links(docs, total))
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+def _components(docs: DataFrame) -> DataFrame:
+    """(node, n, ids, component_id) of the classes of each block."""
+    classes = class_table(docs)
+    parts = common.connected_components(class_links(classes))
+    least = classes.where("node is not null").groupBy("node").agg(F.min(F.array_min("ids")).alias("least"))
     named = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the least id of a component, over its classes; then back to the classes
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = common.materialize(named.join(lowest, "component").select("node", "component_id"), "named")
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    empty = classes.where("node is null").select("node", "n", "ids", F.lit(None).cast("long").alias("component_id"))
+    return classes.where("node is not null").select("node", "n", "ids").join(named, "node").unionByName(empty)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    return _components(docs).select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of the documents with the least id of their component.
 
-    Rows that repeat an id are one document; one of them stays (any, if they differ). Rows without an id
-    stay.
+    Rows that repeat an id are one document; of those that differ the one with the least digest stays. Rows
+    without an id stay.
     """
-    found = components(docs).where("doc_id is null or doc_id = component_id").select("doc_id")
-    kept = common.materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    found = components(docs).where("doc_id is not null and doc_id = component_id").select("doc_id")
+    kept = common.materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
+    out = docs.where("doc_id is not null").join(kept.where("times = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
     if kept.where("times > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).unionByName(docs.where("doc_id is null"))
+        twice = docs.join(kept.where("times > 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = twice.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out

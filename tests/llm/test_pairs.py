@@ -65,9 +65,8 @@ def near_copies(seed=5):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("large, block", [(1500, 3 << 18), (8, 500)])
-def test_jaccard_brute_force(spark, monkeypatch, large, block):
-    monkeypatch.setattr(jaccard_join, "LARGE", large)
+@pytest.mark.parametrize("block", [3 << 18, 500])
+def test_jaccard_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     docs = near_copies()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, node string, n_shingles int").repartition(5)
