@@ -54,12 +54,7 @@ def classified(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
     seen = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n"))
     twice = common.materialize(seen.where("n > 1"), "repeats")
-    more = twice.count() > HOT_PAYLOADS
-    hot = twice.orderBy(F.desc("n"), "digest").limit(HOT_PAYLOADS) if more else twice
-    out = rows.join(F.broadcast(hot.select("digest", "most")), "digest", "left")
-    if more:
-        rest = out.where("most is null and bytes >= {n}".format(n=REVISIT_BYTES)).drop("most").join(twice.select("digest", "most"), "digest", "left")
-        out = out.where("most is not null or bytes < {n}".format(n=REVISIT_BYTES)).unionByName(rest)
+    out = common.join_hot(rows.withColumn("key", F.when(F.col("bytes") >= REVISIT_BYTES, F.col("digest"))), twice.withColumnRenamed("digest", "key"), "key", HOT_PAYLOADS).drop("key")
     repeats = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("most"))
     return out.withColumn("target", F.when(repeats, F.col("most"))).drop("most")
 

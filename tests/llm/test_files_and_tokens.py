@@ -228,6 +228,42 @@ def test_words_of_sections_are_not_furniture():
     assert html_extract.extract(page, path) == "T\nSide effects\nd\nlaw\nlead\ngem\ndish\nn\nx"
 
 
+def read_alone(page):
+    return html_extract.extract(page, html_extract.main_path(html_extract.form(page)))
+
+
+def test_articles_in_other_parts():
+    own = "<article><h1>T</h1><p>own text of the page, long enough</p>{}</article>"
+    for other in ("<aside>{}</aside>", "<section id='comments'><h2>3 comments</h2>{}</section>", "<footer>{}</footer>", "<nav>{}</nav>"):
+        assert read_alone(own.format("") + other.format("<article><p>me too</p></article>")) == "T\nown text of the page, long enough"
+    # an article within an article is a comment on it, unless it holds nearly all of the text
+    assert read_alone(own.format("<div><h3>Replies</h3><article><p>me too</p></article></div>")) == "T\nown text of the page, long enough\nReplies"
+    assert read_alone("<article><article><h1>T</h1><p>all of it</p></article></article>") == "T\nall of it"
+    assert read_alone("<main><div>crumbs</div>" + own.format("") + "</main>").endswith("long enough")
+    assert read_alone("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><div class='side-by-side'>both</div><p class=discussion>d</p></article>") == "so x=1\nboth\nd"
+
+
+def test_hard_pages_are_read_in_linear_time():
+    deep = "<div>" * 5000 + "<article>" + "<div>" * 5000 + "core" + "</div>" * 10_000
+    assert read_alone(deep) == "core"
+    for page in ("<a x " * 200_000, '<a x="' * 200_001 + ">", "<" * 1_000_000, "<!-- " * 200_000, "<div>" * 100_000, "<p><b>" * 100_000, "<li>x" * 100_000, "".join(f"<{t}>x" for t in ("h2", "ul", "table", "p", "dl") * 20_000), "<![CDATA[" * 50_000):
+        read_alone(page)
+    assert read_alone("<article>1 < 2 and <b title=\"a > b\">bold</b> it's</article>") == "1 < 2 and bold it's"
+
+
+def test_template_within_articles_is_left_out(spark):
+    """Text that is equal on all pages of a host is template, though only the wrapper can tell."""
+    rows, want = [], {}
+    for k in range(6):
+        text = " ".join(f"w{random.Random(k * 100 + i).randrange(900)}" for i in range(60))
+        rows.append((k, f"http://t.org/{k}", f"<article><h1>No {k}</h1><p>{text}</p><div>Write to our desk at the old address</div><table><tr><td>Total</td></tr></table></article>"))
+        want[k] = f"No {k}\n{text}\nTotal"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert {r["page_id"]: r["text"] for r in html_extract.main_texts(df).collect()} == want
+    alone = {k: read_alone(page) for k, _, page in rows}
+    assert all(alone[k] != want[k] and "old address" in alone[k] for k in want)
+
+
 def test_wrapper_generalises():
     a = html_extract.form("<div><h1>t</h1><p>x</p><p>y</p><ul><li>1<li>2</ul></div>")
     b = html_extract.form("<div><h1>t</h1><p>x</p><div class=ad>z</div></div>")
