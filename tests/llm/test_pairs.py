@@ -197,12 +197,42 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(df.where("false"), b).count() == 0
 
 
+def test_no_copy_is_lost():
+    """All of random edits, regular ones among them, against the full alignment: the bound on hits holds."""
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(4, 45))] for _ in range(30)]
+    texts, texts_words = [], []
+    for item in items:
+        copies = [[w for k, w in enumerate(item) if k % 3 != j] for j in range(3)]
+        copies += [[f"x{k}" if k % 3 == j else w for k, w in enumerate(item)] for j in range(3)]
+        copies += [[x for k, w in enumerate(item) for x in ([w, f"y{k}"] if k % n == 0 else [w])] for n in (1, 2, 3)]
+        for rate in (0.1, 0.2, 0.3, 0.4, 0.6):
+            for _ in range(6):
+                copies.append([x for w in item for x in ([w] if rng.random() > rate else rng.choice([[], ["z"], [w, "z"], ["z", w]]))])
+        for c in copies:
+            around = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(0, 60))] for _ in range(2)]
+            texts_words.append(around[0] + c + around[1])
+            texts.append(" ".join(texts_words[-1]).encode())
+    finder = decontaminate.Finder(decontaminate._items([(k, " ".join(w).encode()) for k, w in enumerate(items)]))
+    thinned = decontaminate._items([(k, " ".join(w).encode()) for k, w in enumerate(items)])
+    thinned.thin(np.random.default_rng(1).integers(1, 9, len(thinned.gram)))
+    found = {(d, k): s for d, k, s, *_ in decontaminate.contaminations(finder, texts)}
+    assert {(d, k): s for d, k, s, *_ in decontaminate.contaminations(decontaminate.Finder(thinned), texts)} == found
+    hashes = [common.word_hashes([t])[1] for t in texts]
+    want = {}
+    for k, item in enumerate(finder.items.words):
+        score, _ = decontaminate.align([item] * len(texts), hashes)
+        want.update({(d, k): s / (2 * len(item)) for d, s in enumerate(score) if s >= len(item)})
+    assert set(found) == set(want) and all(abs(found[x] - want[x]) < 1e-9 for x in want) and len(want) > 600
+
+
 def test_edited_copies_of_a_hot_item(spark):
     """A verbatim copy makes most n-grams rare; those that many edited copies hold stay seeds."""
     item = [f"h{k}" for k in range(40)]
     edited = [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
     docs = [(0, " ".join(item))] + [(k, f"before{k} " + " ".join(edited) + " after") for k in range(1, 1001)]
     docs += [(2000, "h0 h1 h2 and h10 h11 h12 but nothing else")]
+    assert decontaminate.hits_needed(4) == 1 and decontaminate.hits_needed(40) == 13
     df = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {r["doc_id"]: r["similarity"] for r in decontaminate.contaminated_pairs(df, b).collect()}
@@ -223,7 +253,7 @@ def test_windows_do_not_depend_on_blocks(monkeypatch):
 
 
 def test_decontamination_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SLICE_WORDS", 30)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     bench = common.table(spark, "/root/testdata/sf0.001", "benchmark")
     sliced = {(r[0], r[1]) for r in decontaminate.contaminated_pairs(docs, bench.limit(6)).select("doc_id", "item_id").collect()}
