@@ -7,13 +7,16 @@ least one bad line) and the fit goes on. The forward-backward marginals of the g
 length, give a document's share of good text, and a logistic curve fitted on the training documents turns
 that share into the score.
 
-Fitting uses at most `TRAIN_DOCUMENTS` labelled documents, those with the least hash of their id. Features
-are computed on the executors; the driver gets `len(NAMES)` numbers for each line of the sample. Lines beyond
-`WINDOW` are fitted as sequences of their own. Scoring uses whole texts.
+Fitting uses at most `TRAIN_DOCUMENTS` labelled documents, those with the least hash of their id, and of each at
+most `TRAIN_WINDOWS` windows of `WINDOW` lines, spread evenly over it. Features are computed on the executors; the
+driver gets `len(NAMES)` numbers for each line of the sample. Windows are fitted as sequences of their own.
+Scoring uses whole texts of any length.
 
 Nulls and empty texts are one empty line and get a score like any other. Null ids keep their rows (held_out
 false). Without labels, or with labels of one kind only, every score is that kind's (0.5 without any).
-Repeated label rows count once, with the least label; repeated documents get equal rows.
+Repeated label rows count once, with the least label; of training documents that repeat an id the one with the
+least features counts; repeated documents get equal rows. An empty table gives an empty result. Other columns, also
+such with the names of results, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 TRAIN_DOCUMENTS = 3000
-WINDOW = 64
+WINDOW, TRAIN_WINDOWS = 64, 16
 THRESHOLD = 0.3
 NAMES = ("log_words", "word_length", "upper", "digit", "symbol", "exclaim", "bar", "repeat", "copy", "stop", "empty", "short")
 
@@ -233,6 +236,12 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def sampled_lines(n: int) -> np.ndarray:
+    """Which of a document's n lines are used for fitting."""
+    line = np.arange(n)
+    return line[line // WINDOW % -(-n // (WINDOW * TRAIN_WINDOWS)) == 0]
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> dict:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -240,18 +249,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> d
             for rows in common.chunks(zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()), lambda r: len(r[1])):
                 x, size, lines = line_features([r[1] for r in rows])
                 cut = np.cumsum(lines)[:-1]
+                keep = [sampled_lines(n) for n in lines]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.int32()),
-                        pa.array([f.tobytes() for f in np.split(x, cut)], pa.binary()),
-                        pa.array([s.astype(np.int64).tobytes() for s in np.split(size, cut)], pa.binary()),
+                        pa.array([f[k].tobytes() for f, k in zip(np.split(x, cut), keep)], pa.binary()),
+                        pa.array([s[k].astype(np.int64).tobytes() for s, k in zip(np.split(size, cut), keep)], pa.binary()),
                     ],
                     ["doc_id", "label", "x", "size"],
                 )
 
     sample = label_sample(docs, labels, "quality", limit)
-    found = {r[0]: r for r in sample.mapInArrow(run, "doc_id long, label int, x binary, size binary").toLocalIterator()}
+    found = {}
+    for r in sample.mapInArrow(run, "doc_id long, label int, x binary, size binary").toLocalIterator():
+        if r[0] not in found or (r[2], r[3]) < (found[r[0]][2], found[r[0]][3]):
+            found[r[0]] = r
     rows = [found[k] for k in sorted(found)]
     feats = [(np.frombuffer(r[2], np.float32).reshape(-1, len(NAMES)), np.frombuffer(r[3], np.int64)) for r in rows]
     return fit(feats, np.array([r[1] for r in rows], int))

@@ -10,12 +10,19 @@ grouped by the marker features they share (spherical k-means with fixed seeds),
 is one category. A caller with real category columns passes them to `fit_chain`.
 
 Features are counts of words without punctuation and of word beginnings (four and five bytes), hashed; the
-`MARKERS` features that tell toxic from other training documents best are kept. Fitting uses at most
-`TRAIN_DOCUMENTS` labelled documents, those with the least hash of their id; the driver gets their distinct
-hashed features, not their texts. Scoring uses whole texts.
-
-Null and empty texts have no features and get the score of the intercepts. Without labels of both kinds
-every score is 0. Repeated label rows count once (the least label); repeated documents get equal rows.
+`MARKERS` features that tell toxic from other training documents best are kept. Every fold picks its markers
+and groups from the other folds alone; its groups take the numbers of those of all documents that they overlap
+most. Near copies (equal least hashes of their features) share a fold.
+
+Fitting uses at most `TRAIN_DOCUMENTS` labelled documents of at most `TRAIN_BYTES` bytes, those with the least
+hash of their id; the driver gets their distinct hashed features, not their texts. Scoring uses whole texts of
+any length.
+
+Null and empty texts have no features and get the score of the intercepts. Without labels of both kinds every
+score is that of the one kind there is, 0 without any. Null ids stay null. Repeated label rows count once (the
+least label); of training documents that repeat an id the one with the least features counts; repeated documents
+get equal rows. An empty table gives an empty result. Other columns, also such with the names of results, are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +38,9 @@ from millrace.llm import common
 from millrace.llm.quality_crf import label_sample
 
 TRAIN_DOCUMENTS = 4000
+TRAIN_BYTES = 200_000
+#: Least hashes of two orders each that near copies have in common.
+BANDS = 6
 MARKERS = 256
 CATEGORIES = 4
 FOLDS = 5
@@ -72,10 +82,12 @@ def counts(texts: list[bytes], markers: np.ndarray) -> np.ndarray:
 
 def pick_markers(found: list[np.ndarray], toxic: np.ndarray, limit: int = MARKERS) -> np.ndarray:
     """Features with the highest log-likelihood ratio of being commoner in toxic documents."""
-    pos = np.bincount(np.concatenate([f for f, t in zip(found, toxic) if t]), minlength=SPACE).astype(float)
-    neg = np.bincount(np.concatenate([f for f, t in zip(found, toxic) if not t]), minlength=SPACE).astype(float)
+    count = lambda kind: np.bincount(np.concatenate([np.empty(0, np.int32), *(f for f, t in zip(found, toxic) if t == kind)]), minlength=SPACE).astype(float)
+    pos, neg = count(1), count(0)
     n, m = toxic.sum(), len(toxic) - toxic.sum()
     some = np.flatnonzero(pos >= 2)
+    if not len(some):
+        return some
     p, q = pos[some], neg[some]
     both = (p + q) / (n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -123,20 +135,32 @@ def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, targets: list[tuple[str, np.ndarray]], folds: int = FOLDS) -> list[tuple[str, np.ndarray]]:
-    """Models of the targets in order; each sees x and the out-of-fold probabilities of the earlier ones."""
-    fold = np.arange(len(x)) % folds
-    chain, seen = [], x.astype(np.float32)
-    for name, y in targets:
-        chain.append((name, _logistic(seen, y)))
-        out = np.zeros(len(x))
-        for k in range(folds):
-            if (fold == k).any():
-                out[fold == k] = _apply(_logistic(seen[fold != k], y[fold != k], steps=45), seen[fold == k])
-        seen = np.concatenate([seen, out[:, None].astype(np.float32)], axis=1)
+def fit_chain(x: np.ndarray, targets: list[tuple[str, np.ndarray]], fold: np.ndarray | None = None, views: dict | None = None) -> list[tuple[str, np.ndarray]]:
+    """Models of the targets in order; each sees x and the out-of-fold probabilities of the earlier ones.
+
+    fold: number of each row's fold. views: for each fold the features and targets that the other folds gave it;
+    x and targets where there are none.
+    """
+    fold = np.arange(len(x)) % FOLDS if fold is None else fold
+    views = views or {k: (x, [y for _, y in targets]) for k in np.unique(fold)}
+    chain, earlier = [], np.zeros((len(x), 0), np.float32)
+    for j, (name, y) in enumerate(targets):
+        chain.append((name, _logistic(np.concatenate([x, earlier], axis=1).astype(np.float32), y)))
+        out = out_of_fold(j, earlier, fold, views)
+        earlier = np.concatenate([earlier, out[:, None]], axis=1)
     return chain
 
 
+def out_of_fold(j: int, earlier: np.ndarray, fold: np.ndarray, views: dict) -> np.ndarray:
+    """Probabilities of target j for each row, by a model of the rows of the other folds."""
+    out = np.zeros(len(fold), np.float32)
+    for k, (own, goals) in views.items():
+        test = fold == k
+        seen = np.concatenate([own, earlier], axis=1).astype(np.float32)
+        out[test] = _apply(_logistic(seen[~test], goals[j][~test], steps=45), seen[test]) if not test.all() else goals[j].mean()
+    return out
+
+
 def run_chain(chain: list[tuple[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Probabilities of all targets (rows x targets)."""
     seen, out = x.astype(float), []
@@ -164,26 +188,84 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> d
                     ["doc_id", "label", "f", "n"],
                 )
 
-    sample = label_sample(docs, labels, "toxic", limit)
-    found = {r[0]: r for r in sample.mapInArrow(run, "doc_id long, label int, f binary, n binary").toLocalIterator()}
-    rows = [found[k] for k in sorted(found)]
-    toxic = np.array([r[1] for r in rows], int)
+    sample = label_sample(docs, labels, "toxic", limit).where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = {}
+    for r in sample.mapInArrow(run, "doc_id long, label int, f binary, n binary").toLocalIterator():
+        if r[0] not in rows or (r[2], r[3]) < (rows[r[0]][2], rows[r[0]][3]):
+            rows[r[0]] = r
+    rows = [rows[k] for k in sorted(rows)]
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], [np.frombuffer(r[3], np.int32) for r in rows], np.array([r[1] for r in rows], int))
+
+
+def folds_of(feats: list[np.ndarray], folds: int = FOLDS) -> np.ndarray:
+    """Fold of each document; documents with equal least hashes in some band share one."""
+    rng = np.random.default_rng(5)
+    key = rng.integers(1, 2**63, (BANDS, 2), dtype=np.uint64)
+    a, b = [], []
+    for pair in key:
+        least = [tuple(common.mix(f.astype(np.uint64) ^ k).min() if len(f) else np.uint64(0) for k in pair) for f in feats]
+        first: dict[tuple, int] = {}
+        for at, band in enumerate(least):
+            if (other := first.setdefault(band, at)) != at:
+                a.append(at)
+                b.append(other)
+    group = np.arange(len(feats))
+    child, root = common.forest(np.array(a, np.int64), np.array(b, np.int64)) if a else (group[:0], group[:0])
+    group[child] = root
+    return (common.mix(group.astype(np.uint64) + np.uint64(1)) % np.uint64(folds)).astype(int)
+
+
+def _matrix(feats: list[np.ndarray], times: list[np.ndarray], markers: np.ndarray) -> np.ndarray:
+    """Damped counts of the markers (documents x markers)."""
+    where = np.full(SPACE, -1, np.int32)
+    where[markers] = np.arange(len(markers))
+    x = np.zeros((len(feats), len(markers)), np.float32)
+    for k, (f, n) in enumerate(zip(feats, times)):
+        col = where[f]
+        x[k, col[col >= 0]] = np.log1p(n[col >= 0])
+    return x
+
+
+def _view(feats, times, toxic: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Markers, features and group of each document (-1: none) as some rows alone give them."""
+    markers = pick_markers([feats[k] for k in rows], toxic[rows])
+    x = _matrix(feats, times, markers)
+    group = np.full(len(feats), -1)
+    bad = rows[toxic[rows] == 1]
+    if len(markers) and len(bad):
+        group[bad] = latent_categories(x[bad])
+    return markers, x, group
+
+
+def _renamed(group: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """group with the numbers of the groups of like that its own overlap most, each used once."""
+    both = np.zeros((CATEGORIES, CATEGORIES), int)
+    some = (group >= 0) & (like >= 0)
+    np.add.at(both, (group[some], like[some]), 1)
+    name = np.zeros(CATEGORIES, int)
+    for _ in range(CATEGORIES):
+        g, to = np.unravel_index(both.argmax(), both.shape)
+        name[g] = to
+        both[g], both[:, to] = -1, -1
+    return np.where(group >= 0, name[group], -1)
+
+
+def _targets(group: np.ndarray, toxic: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    return [(f"category_{g}", (group == g).astype(float)) for g in range(CATEGORIES)] + [("toxic", toxic.astype(float))]
+
+
+def fit(feats: list[np.ndarray], times: list[np.ndarray], toxic: np.ndarray) -> dict:
+    """Model from the documents' distinct features, how often they occur, and the documents' labels."""
     if not len(toxic) or toxic.min() == toxic.max():
         return {"constant": float(toxic[0]) if len(toxic) else 0.0}
-    feats = [np.frombuffer(r[2], np.int32) for r in rows]
-    markers = pick_markers(feats, toxic)
+    markers, x, group = _view(feats, times, toxic, np.arange(len(feats)))
     if not len(markers):
         return {"constant": 0.0}
-    where = np.full(SPACE, -1, np.int32)
-    where[markers] = np.arange(len(markers))
-    x = np.zeros((len(rows), len(markers)), np.float32)
-    for k, (f, r) in enumerate(zip(feats, rows)):
-        col = where[f]
-        x[k, col[col >= 0]] = np.log1p(np.frombuffer(r[3], np.int32)[col >= 0])
-    group = np.full(len(rows), -1)
-    group[toxic == 1] = latent_categories(x[toxic == 1])
-    targets = [(f"category_{g}", (group == g).astype(float)) for g in range(CATEGORIES)]
-    return {"markers": markers, "chain": fit_chain(x, [*targets, ("toxic", toxic.astype(float))])}
+    fold, views = folds_of(feats), {}
+    for k in np.unique(fold):
+        _, own, theirs = _view(feats, times, toxic, np.flatnonzero(fold != k))
+        views[k] = own, [y for _, y in _targets(_renamed(theirs, np.where(fold == k, -1, group)), toxic)]
+    return {"markers": markers, "chain": fit_chain(x, _targets(group, toxic), fold, views)}
 
 
 def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:

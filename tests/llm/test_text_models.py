@@ -86,3 +86,55 @@ def test_word_hashes_by_segments(monkeypatch):
     parts = common.word_hashes(texts)
     assert all((a == b).all() for a, b in zip(whole, parts))
     assert len(set(whole[1][:3].tolist())) == 3 and (whole[1][0] == common.word_hashes([b"aB"])[1][0])
+
+
+def random_documents(seed=3, n=240):
+    """Features of documents, a quarter of them toxic by one of four groups of features, and near copies."""
+    rng = np.random.default_rng(seed)
+    feats, toxic = [], np.zeros(n, int)
+    for k in range(n):
+        f = rng.integers(1000, 3000, 60)
+        if k % 4 == 0:
+            toxic[k], f[:4] = 1, 10 * (k // 4 % 4) + np.arange(4)
+        feats.append(np.unique(f).astype(np.int32))
+    feats += [np.append(f, 5000 + k).astype(np.int32) for k, f in enumerate(feats[:40])]
+    return feats, [np.ones(len(f), np.int32) for f in feats], np.append(toxic, toxic[:40])
+
+
+def test_folds_keep_near_copies_together():
+    feats, _, _ = random_documents()
+    fold = toxicity.folds_of(feats)
+    assert (fold[:40] == fold[240:]).mean() > 0.95 and len(np.unique(fold)) == toxicity.FOLDS
+
+
+def test_out_of_fold_probabilities_do_not_know_their_labels():
+    """Other labels in a fold change nothing in what that fold gets from the others."""
+    feats, times, toxic = random_documents()
+    fold = toxicity.folds_of(feats)
+    views = []
+    for labels in (toxic, np.where(fold == 2, 1 - toxic, toxic)):
+        _, x, group = toxicity._view(feats, times, labels, np.flatnonzero(fold != 2))
+        goals = [y for _, y in toxicity._targets(group, labels)]
+        views.append(toxicity.out_of_fold(0, np.zeros((len(x), 0), np.float32), fold, {2: (x, goals)})[fold == 2])
+    assert (views[0] == views[1]).all() and views[0].max() > 0
+
+
+def test_chain_brute_force():
+    """Scores by plain loops over words, markers and links equal those of the operator."""
+    feats, times, toxic = random_documents()
+    model = toxicity.fit(feats, times, toxic)
+    x = toxicity._matrix(feats, times, model["markers"])
+    p = toxicity.run_chain(model["chain"], x)
+    for k in range(0, len(feats), 17):
+        seen = [float(np.log1p(dict(zip(feats[k].tolist(), times[k].tolist())).get(m, 0))) for m in model["markers"].tolist()]
+        for j, (_, w) in enumerate(model["chain"]):
+            z = sum(a * b for a, b in zip(seen, w[:-1].tolist())) + float(w[-1])
+            seen.append(1 / (1 + np.exp(-z)))
+            assert abs(seen[-1] - p[k, j]) < 1e-4
+    assert ((p[:, -1] >= toxicity.THRESHOLD) == (toxic == 1)).mean() > 0.97
+
+
+def test_sample_of_lines():
+    assert quality_crf.sampled_lines(100).tolist() == list(range(100))
+    long = quality_crf.sampled_lines(100_000)
+    assert len(long) <= quality_crf.WINDOW * quality_crf.TRAIN_WINDOWS and long[-1] > 90_000
