@@ -456,6 +456,7 @@ def _rest(member: DataFrame, links: DataFrame) -> DataFrame:
     index = every.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), "part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"))
     ask = every.join(left.select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")).cast("int").alias("i"))
     found = common.materialize(index.unionByName(ask).groupBy("grp", "i", "part").applyInArrow(_search_pairs, _FOUND).select("a", "b"), "rest")
+    common.discard(left)
     common.release_shuffles(spark)
     return found
 
@@ -472,6 +473,7 @@ def class_links(classes: DataFrame) -> DataFrame:
     large = member.where("parts > 1")
     if large.limit(1).count():
         links = links.unionByName(_rest(large, links))
+    common.discard(member)
     return links
 
 
