@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the folder that
 driver and executors share and read again as the next stage's docs. All but the last return the columns of
 documents. Models are fitted on the labelled documents that reach their stage.
+
+Null texts count as empty ones; they are scored like others and never near-duplicates. Rows without an id stay.
+Rows that repeat an id are one document to the near-duplicates stage: of those that differ the one with the least
+digest stays, the same in every run. Of equal documents the one with the least id stays. Texts are read whole,
+however long. Extra columns are kept up to the last stage; names that operators use inside don't clash. An empty
+table passes every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -55,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents in sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents in sf_dir; a stage's folder goes once the next one is written."""
+    docs, done = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if done is not None:
+            common.discard(done)
+        common.release_shuffles(spark)
+        done = docs
     return docs
