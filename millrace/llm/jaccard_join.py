@@ -46,6 +46,8 @@ BLOCK = 3 << 18
 #: Bytes of text for each shingle, as a guess for the number of buckets.
 SHINGLE_BYTES = 6
 SKETCH_BITS = 19
+#: Dropped ids that are broadcast at most; more are joined by a shuffle.
+MARKED = 2_000_000
 #: Postings up to which short lists are merged by a heap.
 HEAP = 1 << 11
 #: Share of DivideSkip's long lists: T / (MU * log2(longest list) + 1).
@@ -501,11 +503,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat an id are one document; of those that differ the one with the least digest stays. Rows
     without an id stay.
     """
-    found = components(docs).where("doc_id is not null and doc_id = component_id").select("doc_id")
-    kept = common.materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    out = docs.where("doc_id is not null").join(kept.where("times = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-    if kept.where("times > 1").limit(1).count():
-        twice = docs.join(kept.where("times > 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    found = components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("times"))
+    # few ids are dropped or repeated: they go to the texts, not the texts to them
+    marked = common.materialize(found.where("not stays or times > 1"), "marked")
+    near = F.broadcast if marked.count() <= MARKED else lambda df: df
+    out = docs.join(near(marked.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    repeated = marked.where("stays").select("doc_id")
+    if repeated.limit(1).count():
+        twice = docs.join(near(repeated), "doc_id", "left_semi").select(docs.columns)
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
         one = twice.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
         out = out.unionByName(one.select("row.*"))

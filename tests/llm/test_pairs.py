@@ -86,6 +86,18 @@ def test_jaccard_edges(spark):
     assert jaccard_join.one_of_each(spark.createDataFrame(rows, schema)).count() == 4
 
 
+@pytest.mark.parametrize("marked", [2_000_000, 0])
+def test_one_of_each_of_odd_rows(spark, monkeypatch, marked):
+    """Ids that repeat with other texts, null ids, equal texts, null texts and clashing columns."""
+    monkeypatch.setattr(jaccard_join, "MARKED", marked)
+    say = lambda k: " ".join(f"s{k}w{i}" for i in range(40))
+    rows = [(5, say(1), "a"), (3, say(1), "b"), (8, say(2), "c"), (8, say(3), "d"), (8, say(3), "d"), (9, say(2) + " end", "e"), (None, say(1), "f"), (None, None, "g"), (1, None, "h"), (2, "", "i"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
+    got = [{(r["doc_id"], r["node"]) for r in jaccard_join.one_of_each(df.repartition(n)).collect()} for n in (1, 4)]
+    assert got[0] == got[1] and got[0] - {(8, "c"), (8, "d")} == {(3, "b"), (None, "f"), (None, "g"), (1, "h"), (2, "i"), (4, None)}
+    assert jaccard_join.one_of_each(df).count() == 7
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 300, dtype=np.uint64)
