@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import astuple, dataclass, field
+from enum import Enum
 
 from pyspark.sql import types as T
 
@@ -81,6 +82,12 @@ class JobStep:
         return [self.step, _stamp(self.ts), self.status, self.message]
 
 
+class Quoting(str, Enum):
+    """How fields of a delimited file are quoted."""
+
+    MINIMAL, ALL, NONNUMERIC, NONE = "minimal", "all", "nonnumeric", "none"
+
+
 @dataclass
 class FileMetadata:
     """Layout of a delimited file."""
@@ -91,7 +98,7 @@ class FileMetadata:
     skip_initial_space: bool = False
     header: bool = False
     line_terminator: str = "\n"
-    quoting: str = "minimal"
+    quoting: Quoting = Quoting.MINIMAL
     escape_character: str | None = None
     inferred: bool = True
     columns: list[str] = field(default_factory=list)

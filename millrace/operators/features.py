@@ -13,7 +13,7 @@ from millrace.model import Feature
 from millrace.operators.events import _time
 
 
-class FeatureStore:
+class Registry:
     """Registered features in the order of registration, each once."""
 
     def __init__(self, features: list[Feature] | None = None):
@@ -34,7 +34,7 @@ class FeatureStore:
             csv.writer(f).writerows(x.to_list() for x in self.features)
 
     @classmethod
-    def load(cls, path: str | Path) -> FeatureStore:
+    def load(cls, path: str | Path) -> Registry:
         with open(path, newline="", encoding="utf-8") as f:
             return cls([Feature.from_list(row) for row in csv.reader(f) if row])
 
@@ -50,13 +50,13 @@ def _versioned(events: DataFrame) -> DataFrame:
     return events if "version" in events.columns else events.withColumn("version", F.lit(1))
 
 
-def snapshot(events: DataFrame, at, store: FeatureStore) -> DataFrame:
+def snapshot(events: DataFrame, at, store: Registry) -> DataFrame:
     """(entity, a column per active feature): latest values up to a time; one aggregation."""
     rows = _versioned(events).where(F.col("ts") <= _time(at))
     return rows.groupBy("entity").agg(*(_latest(a) for a in store.active))
 
 
-def chord(events: DataFrame, attribute: str, at, store: FeatureStore) -> DataFrame:
+def chord(events: DataFrame, attribute: str, at, store: Registry) -> DataFrame:
     """(sync, entity, features): values as of the entity's latest event of an attribute up to a time.
 
     Entities without such an event are left out. The window and the aggregation share one shuffle.

@@ -21,6 +21,17 @@ def edges(mapping: DataFrame, threshold: float = 1.0) -> DataFrame:
     return rows.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
+MISSING = "Missing"
+
+
+def graph(mapping: DataFrame, known: DataFrame | None = None, threshold: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a mapping; ends of edges that known (id, id_type) lacks have the type Missing."""
+    links = edges(mapping, threshold)
+    nodes = vertices(mapping) if known is None else known.select("id", "id_type").distinct()
+    lost = links.select(F.col("a").alias("id")).distinct().join(nodes, "id", "left_anti").withColumn("id_type", F.lit(MISSING))
+    return nodes.unionByName(lost), links
+
+
 def find_targets(mapping: DataFrame, target_type: str, threshold: float = 1.0, max_hops: int = 20) -> DataFrame:
     """(id, target_id, hops): for each reachable vertex the nearest vertex of a type, the least id of equals.
 
@@ -28,14 +39,13 @@ def find_targets(mapping: DataFrame, target_type: str, threshold: float = 1.0, m
     changes or after max_hops.
     """
     links = edges(mapping, threshold)
-    found = vertices(mapping).where(F.col("id_type") == target_type).select("id", F.col("id").alias("target_id"), F.lit(0).alias("hops"))
-    frontier = found
+    found = frontier = checkpointed(vertices(mapping).where(F.col("id_type") == target_type).select("id", F.col("id").alias("target_id"), F.lit(0).alias("hops")))
     for hop in range(1, max_hops + 1):
         step = links.join(frontier.select(F.col("id").alias("a"), "target_id"), "a").groupBy(F.col("b").alias("id")).agg(F.min("target_id").alias("target_id"))
         frontier = checkpointed(step.join(found.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
-        found = checkpointed(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # of checkpoints: every frontier is written once
     return found
 
 

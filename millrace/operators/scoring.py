@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -29,9 +29,9 @@ def load_model(path: str, *args) -> Model:
     return getattr(importlib.import_module(module), name)(*args)
 
 
-def encode(df: DataFrame, columns: list[str], domains: dict[str, list[str]]) -> DataFrame:
-    """Columns as doubles: the place in the domain (-1 for null and unknown), numbers as they are, else 0."""
-    out = []
+def encode(df: DataFrame, columns: list[str], domains: dict[str, list[str]], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, and columns as doubles: the place in the domain (-1 for null and unknown), numbers as they are, else 0."""
+    out = [F.col(k) for k in keys]
     for c in columns:
         if c in domains:
             pairs = [x for i, d in enumerate(domains[c]) for x in (F.lit(d), F.lit(float(i)))]
@@ -43,16 +43,18 @@ def encode(df: DataFrame, columns: list[str], domains: dict[str, list[str]]) ->
     return df.select(*out)
 
 
-def score(model: Model, df: DataFrame, response_attached: bool = False) -> DataFrame:
-    """(scores array<double>) of every row; with the response's encoded value last if it is attached."""
+def score(model: Model, df: DataFrame, response_attached: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, scores array<double>) of every row; with the response's encoded value last if it is attached."""
     columns = [*model.columns, *([model.response] if response_attached and model.response else [])]
     n = len(model.columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            found = np.atleast_2d(model.predict(x.to_numpy()[:, :n]))
-            if len(columns) > n:
-                found = np.column_stack([found, x.to_numpy()[:, n]])
-            yield pd.DataFrame({"scores": list(found)})
-
-    return encode(df, columns, model.domains).mapInPandas(run, "scores array<double>")
+            values = x.iloc[:, len(keys) :].to_numpy(dtype=float)
+            found = np.atleast_2d(model.predict(values[:, :n])) if len(x) else np.empty((0, 0))
+            if len(columns) > n and len(x):
+                found = np.column_stack([found, values[:, n]])
+            yield pd.concat([x.iloc[:, : len(keys)], pd.Series(list(found), index=x.index, name="scores", dtype=object)], axis=1)
+
+    schema = T.StructType([df.schema[k] for k in keys]).add("scores", T.ArrayType(T.DoubleType()))
+    return encode(df, columns, model.domains, keys).mapInPandas(run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from millrace.config import AppConfig, TableConfig
 from millrace.functions.hashing import change_hash, entity_key
 from millrace.model import OPEN_END, PROCESS_LOG
+from millrace.sources.io import write_table
 
 META = ("start_time", "end_time", "source", "process_type", "process_id", "process_date", "user_id", "rectype", "version")
 HASH = "hashed_value"
@@ -93,7 +94,7 @@ def plan_changes(incoming: DataFrame, current: DataFrame | None, keys: Sequence[
         return first.withColumn("end_time", F.when(F.col("_flag"), load_ts).otherwise(F.col("end_time"))).select(*cols, "rectype", "version")
     old = current.select(*keys, F.struct(*(c for c in current.columns)).alias("c"))
     new = rows.select(*keys, F.struct(*rows.columns).alias("i"))
-    both = new.join(old, list(keys), "full_outer")
+    both = new.join(old, list(keys), "left" if is_delta else "full_outer")  # a delta says nothing of the keys it lacks
     live = F.col("c").isNotNull() & (F.col("c.rectype") != "D")
     here = F.col("i").isNotNull()
     asked = here & F.coalesce(F.col("i._flag"), F.lit(False))
@@ -133,12 +134,11 @@ def next_history(history: DataFrame | None, batch: DataFrame, keys: Sequence[str
 
 
 def next_current(current: DataFrame | None, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The latest version of each key, deleted ones included; of equal versions the batch's."""
-    rows = batch.withColumn("_new", F.lit(1))
-    if current is not None:
-        rows = rows.unionByName(current.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy(F.desc("version"), F.desc("_new"))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
+    """The latest version of each key, deleted ones included: the batch's where it has the key."""
+    new = latest(batch, keys)
+    if current is None:
+        return new
+    return current.join(batch.select(*keys).distinct(), list(keys), "left_anti").select(current.columns).unionByName(new, allowMissingColumns=True)
 
 
 def latest(history: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,10 +153,10 @@ def load_counts() -> Column:
 
 
 class Store:
-    """History and current rows of tables below a folder."""
+    """History and current rows of tables below a folder; the logs there, too, or in a database of the catalog."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, catalog: str | None = None):
+        self.spark, self.base, self.catalog = spark, base.rstrip("/"), catalog
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -164,8 +164,14 @@ class Store:
         return self._fs.exists(self._path(f"{self.base}/{name}"))
 
     def read(self, name: str) -> DataFrame | None:
+        self._settle(name)
         return self.spark.read.parquet(f"{self.base}/{name}") if self.exists(name) else None
 
+    def _settle(self, name: str) -> None:
+        """Ends a swap that was cut off between its two renames."""
+        if not self.exists(name) and self.exists(f"{name}.prev") and self.exists(f"{name}.next/_SUCCESS"):
+            self._fs.rename(self._path(f"{self.base}/{name}.next"), self._path(f"{self.base}/{name}"))
+
     def replace(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
         """Writes beside the old copy, then swaps; the old copy stays as .prev."""
         at = f"{self.base}/{name}"
@@ -183,30 +189,64 @@ class Store:
         return found
 
     def apply(self, table: str, batch: DataFrame, keys: Sequence[str], process: Process, read_count: int, distinct_count: int, *, overwrite: bool = False, partition_by: Sequence[str] = (), change_tables: bool = False, params: dict | None = None) -> DataFrame:
-        """Writes a planned batch; returns its process-log row."""
+        """Writes a planned batch; returns its process-log row.
+
+        The batch is staged whole, with what is needed to finish it. Should the driver be lost from then on, the
+        next load of the table finishes the staged batch first, so no version is lost or written twice.
+        """
+        batch.write.mode("overwrite").parquet(f"{self.base}/{table}/batch.parquet")  # planned once; history and current read the result
+        spec = {"keys": list(keys), "overwrite": overwrite, "partition_by": list(partition_by), "change_tables": change_tables, "read": read_count, "distinct": distinct_count, "params": params or {}, "process": {**process.__dict__, "load_ts": process.load_ts.isoformat()}}
+        self._write_text(f"{table}/batch.json", json.dumps(spec, default=str))
+        return self._finish(table, spec)
+
+    def recover(self, table: str) -> DataFrame | None:
+        """Finishes a staged batch of a load that was cut off; its process-log row."""
+        if not self.exists(f"{table}/batch.json"):
+            return None
+        spec = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.base}/{table}/batch.json").collect()))
+        return self._finish(table, spec, again=True)
+
+    def _finish(self, table: str, spec: dict, again: bool = False) -> DataFrame:
+        """Brings a staged batch into the tables; again: what an earlier try has written is not written twice."""
+        keys, overwrite, partition_by = spec["keys"], spec["overwrite"], spec["partition_by"]
+        process = Process(**{**spec["process"], "load_ts": dt.datetime.fromisoformat(spec["process"]["load_ts"])})
+        batch = self.spark.read.parquet(f"{self.base}/{table}/batch.parquet")
         history, now = self.read(f"{table}/history.parquet"), self.read(f"{table}/current.parquet")
-        at = f"{self.base}/{table}/batch.parquet"
-        batch.write.mode("overwrite").parquet(at)  # planned once; history and current read the result
-        batch = self.spark.read.parquet(at)
         if overwrite or history is None:
             self.replace(next_history(history, batch, keys, overwrite), f"{table}/history.parquet", partition_by)
         else:
-            batch.write.mode("append").partitionBy(*partition_by).parquet(f"{self.base}/{table}/history.parquet")
+            rows = batch.join(history.select(*keys, "version"), [*keys, "version"], "left_anti").select(batch.columns) if again else batch
+            rows.write.mode("append").partitionBy(*partition_by).parquet(f"{self.base}/{table}/history.parquet")
         self.replace(next_current(now, batch, keys), f"{table}/current.parquet", partition_by)
-        if history is None:
-            self.write_meta(table, params or {})
-        if change_tables:
+        if not self.exists(f"{table}/meta.json"):
+            self.write_meta(table, spec["params"])
+        if spec["change_tables"]:
             for kind, name in (("I", "new"), ("U", "changed"), ("D", "removed")):
-                self.write_changes(batch.where(F.col("rectype") == kind), f"{table}/{name}.parquet", process)
+                self.write_changes(batch.where(F.col("rectype") == kind), f"{table}/{name}.parquet", process, keys=keys if again else ())
         n = batch.agg(load_counts().alias("c")).first()["c"]
-        row = (process.process_id, process.process_type, process.user_id, read_count, read_count - distinct_count, n["inserts_count"], n["updates_count"], n["deletes_count"], process.load_ts, process.load_ts.date())
+        row = (process.process_id, process.process_type, process.user_id, spec["read"], spec["read"] - spec["distinct"], n["inserts_count"], n["updates_count"], n["deletes_count"], process.load_ts, process.load_ts.date())
         log = self.spark.createDataFrame([row], PROCESS_LOG)
-        log.write.mode("append").parquet(f"{self.base}/process_log.parquet")
-        self._fs.delete(self._path(at), True)
+        self._fs.delete(self._path(f"{self.base}/{table}/batch.json"), True)  # from here on the batch is done
+        self.write_log(log)
+        self._fs.delete(self._path(f"{self.base}/{table}/batch.parquet"), True)
         return log
 
-    def write_changes(self, rows: DataFrame, name: str, process: Process, keep_days: int = 3) -> None:
-        """Appends to a change table by process date and drops days older than keep_days."""
+    def write_log(self, log: DataFrame) -> None:
+        if self.catalog:
+            write_table(log, f"{self.catalog}.process_log", "parquet", mode="append")
+        else:
+            log.write.mode("append").parquet(f"{self.base}/process_log.parquet")
+
+    def _write_text(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._path(f"{self.base}/{name}"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def write_changes(self, rows: DataFrame, name: str, process: Process, keep_days: int = 3, keys: Sequence[str] = ()) -> None:
+        """Appends to a change table by process date and drops days older than keep_days; with keys only what it lacks."""
+        if keys and self.exists(name):
+            known = self.spark.read.schema(rows.schema).parquet(f"{self.base}/{name}").select(*keys, "version", "process_id")  # it may be empty
+            rows = rows.join(known, [*keys, "version", "process_id"], "left_anti").select(rows.columns)
         rows.write.mode("append").partitionBy("process_date").parquet(f"{self.base}/{name}")
         oldest = (process.load_ts.date() - dt.timedelta(days=keep_days)).isoformat()
         for status in self._fs.listStatus(self._path(f"{self.base}/{name}")):
@@ -215,9 +255,11 @@ class Store:
                 self._fs.delete(status.getPath(), True)
 
     def write_meta(self, table: str, params: dict) -> None:
-        stream = self._fs.create(self._path(f"{self.base}/{table}/meta.json"), True)
-        stream.write(bytearray(json.dumps(params, default=str).encode()))
-        stream.close()
+        """The parameters of a table's first load, as JSON; with a catalog also as rows of its meta_log."""
+        self._write_text(f"{table}/meta.json", json.dumps(params, default=str))
+        if self.catalog:
+            rows = self.spark.createDataFrame([(table, k, str(v)) for k, v in params.items()], "table_name string, name string, value string")
+            write_table(rows, f"{self.catalog}.meta_log", "parquet", mode="append")
 
 
 class Loader:
@@ -230,10 +272,11 @@ class Loader:
         flag = None
         if delete_indicator:
             flag = F.col(delete_indicator[0]).eqNullSafe(F.lit(delete_indicator[1]))
+        self.store.recover(table)
         now = self.store.read_current(table, keys)
         batch = plan_changes(rows, now, keys, process.stamp, is_delta=is_delta, overwrite=overwrite, flag=flag, track_changes=track_changes)
-        counted = df.agg(F.count(F.lit(1)).alias("n"))
-        return self.store.apply(table, batch, keys, process, counted.first()["n"], rows.count(), overwrite=overwrite, partition_by=partition_by, change_tables=change_tables, params={"table": table, "is_delta": is_delta, "overwrite": overwrite, **process.__dict__})
+        n = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("read"), F.count(F.lit(1)).alias("distinct")).first()
+        return self.store.apply(table, batch, keys, process, n["read"] or 0, n["distinct"], overwrite=overwrite, partition_by=partition_by, change_tables=change_tables, params={"table": table, "is_delta": is_delta, "overwrite": overwrite, **process.__dict__})
 
     def hub(self, df: DataFrame, process: Process, entity_type: str, id_fields: Sequence[str], id_type: str, *, is_delta: bool = True, overwrite: bool = False, table: str | None = None, batch: Batch = Batch(), delete_indicator=None) -> DataFrame:
         """New and gone business keys; table <entity type>_hub."""
@@ -251,7 +294,7 @@ class Loader:
     def satellite(self, df: DataFrame, process: Process, table: str, id_fields: Sequence[str], id_type: str, *, is_delta: bool = True, overwrite: bool = False, batch: Batch = Batch(), delete_indicator=None, partition_by: Sequence[str] = (), change_tables: bool = False) -> DataFrame:
         """Versions of the attributes of each key."""
         rows = prepare(df, {"entity_id": entity_key(id_type, id_fields)}, batch, process, key_columns=id_fields).drop(*id_fields)
-        return self._load(table, df, rows, ["entity_id"], process, is_delta, overwrite, delete_indicator, True, partition_by, change_tables)
+        return self._load(table, df.select(*batch.projection) if batch.projection else df, rows, ["entity_id"], process, is_delta, overwrite, delete_indicator, True, partition_by, change_tables)
 
     def link(self, df: DataFrame, process: Process, src: tuple[str, Sequence[str], str], dst: tuple[str, Sequence[str], str], *, is_delta: bool = True, overwrite: bool = False, table: str | None = None, delete_indicator=None, extra: dict[str, Column] | None = None) -> DataFrame:
         """Pairs of keys; src and dst are (entity type, id fields, id type); table <src>_<dst>_link."""

@@ -22,7 +22,7 @@ ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-15 00:00:00"
 LOAD = dt.datetime(2024, 2, 1)
 KINDS = ("click", "error", "purchase", "signup", "view")
-STORE = features.FeatureStore([Feature(k) for k in KINDS])
+STORE = features.Registry([Feature(k) for k in KINDS])
 
 
 def query(sql: str | None = None, rounded: tuple[str, ...] = ()):
@@ -85,9 +85,9 @@ def sort_top(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 # Scalar functions ------------------------------------------------------------------------------------
@@ -403,7 +403,7 @@ def sat_join_hub(spark, d):
 
 @query(
     """WITH RECURSIVE m AS (
-      SELECT 'o' || o_orderkey AS a, 'order' AS ta, 'c' || o_custkey AS b, 'customer' AS tb, CASE WHEN o_orderkey % 9 = 0 THEN 0.5 ELSE 1.0 END AS conf FROM orders WHERE o_orderkey % 3 = 0
+      SELECT 'o' || o_orderkey AS a, 'order' AS ta, 'c' || o_custkey AS b, 'customer' AS tb, CASE WHEN o_orderkey % 9 = 0 THEN 0.5 ELSE 1.0 END AS conf FROM orders
       UNION ALL SELECT 'c' || c_custkey, 'customer', 'n' || c_nationkey, 'nation', CASE WHEN c_custkey % 4 = 0 THEN 0.5 ELSE 1.0 END FROM customer),
     e AS (SELECT a, b FROM m WHERE conf >= 1.0 UNION SELECT b, a FROM m WHERE conf >= 1.0),
     v AS (SELECT a AS id, ta AS t FROM m UNION SELECT b, tb FROM m),
@@ -411,7 +411,7 @@ def sat_join_hub(spark, d):
     SELECT v.id, r.target_id FROM v LEFT JOIN (SELECT id, arg_min(target_id, (hops, target_id)) AS target_id FROM w GROUP BY 1) r USING (id)"""
 )
 def resolve_entities(spark, d):
-    o, c = table(spark, d, "orders").where("o_orderkey % 3 = 0"), table(spark, d, "customer")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
     m = o.selectExpr("concat('o', o_orderkey) src_entity_id", "'order' src_id_type", "concat('c', o_custkey) dst_entity_id", "'customer' dst_id_type", "case when o_orderkey % 9 = 0 then 0.5d else 1.0d end confidence")
     m = m.unionByName(c.selectExpr("concat('c', c_custkey) src_entity_id", "'customer' src_id_type", "concat('n', c_nationkey) dst_entity_id", "'nation' dst_id_type", "case when c_custkey % 4 = 0 then 0.5d else 1.0d end confidence"))
     return resolve.map_entities(resolve.vertices(m), "id", m, "nation", "target_id").select("id", "target_id")
@@ -483,10 +483,10 @@ def pipeline_tables(spark, d):
     return pipeline.TablePipeline("tables").add(many, total, keep)(table(spark, d, "orders"), Context(status="O", sqlparams={"least": 1}))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
 def named_sql(spark, d):
     table(spark, d, "events").createOrReplaceTempView("millrace_events")
-    return pipeline.run_sql(spark, "SELECT event_type, count(*) AS n\nFROM $mytable\nWHERE user_id = ${userId} GROUP BY 1", strings.parameterize({"mytable": "millrace_events", "user-id": 7}))
+    return pipeline.run_sql(spark, "SELECT event_type, count(*) AS n\nFROM $mytable\nWHERE event_type <> '${leftOut}' GROUP BY 1", strings.parameterize({"mytable": "millrace_events", "left-out": "view"}))
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from millrace.functions.strings import template
 from millrace.model import ErrorThresholdReached, JobStep, TransformationError
 from millrace.plans.context import Context
+from millrace.session import checkpointed
 from millrace.sources.sql import load_query
 
 ERRORS = "_errors"
@@ -176,6 +177,7 @@ class RowPipeline(Pipeline):
         df = self._python(df, run, ctx)
         limit = ctx.get("error_threshold")
         if ERRORS in df.columns and limit is not None:
+            df = checkpointed(df)  # the steps run once, for the count and for the sink
             bad = df.where(F.size(ERRORS) > 0).limit(limit + 1).collect()
             ctx["errors"] += [TransformationError(self.name, dt.datetime.now(), "row", m, str(r)) for r in bad for m in r[ERRORS]]
             if len(bad) > limit:
@@ -213,7 +215,9 @@ class RowPipeline(Pipeline):
                         values[column] = None
             return tuple(values.get(n) for n in names)
 
-        return df.sparkSession.createDataFrame(df.rdd.map(apply), schema)
+        # rows cross in Arrow batches and the plan stays one of DataFrames
+        steps_udf = F.udf(apply, schema, useArrow=True).asNondeterministic()
+        return df.select(steps_udf(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("_row")).select("_row.*")
 
 
 class TablePipeline(Pipeline):

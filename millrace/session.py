@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call uses."""
+    folder = shared_folder(spark).rstrip("/")
+    return f"{folder if ':' in folder else 'file://' + folder}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; a temporary folder of a local session without it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

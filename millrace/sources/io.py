@@ -85,9 +85,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str, **options)
     return spark.read.format("jdbc").options(url=url, dbtable=table, driver=driver, **options).load()
 
 
-def write_table(df: DataFrame, name: str, fmt: str = "orc") -> None:
-    """A managed table, replaced."""
-    df.write.format(fmt).mode("overwrite").saveAsTable(name)
+def write_table(df: DataFrame, name: str, fmt: str = "orc", path: str | None = None, single_file: bool = False, mode: str = "overwrite") -> None:
+    """A table of the catalog, replaced or appended to; managed unless a path is given.
+
+    single_file writes with one task, so it is for small tables only.
+    """
+    writer = (df.coalesce(1) if single_file else df).write.format(fmt).mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def prepare_keys(df: DataFrame, key: str) -> DataFrame:

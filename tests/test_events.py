@@ -62,10 +62,10 @@ def test_current_and_chords(spark):
 
 
 def test_features(spark, tmp_path):
-    store = features.FeatureStore([Feature("call"), Feature("web"), Feature("web"), Feature("off", active=False)])
+    store = features.Registry([Feature("call"), Feature("web"), Feature("web"), Feature("off", active=False)])
     assert store.active == ["call", "web"]
     store.save(tmp_path / "f.csv")
-    assert features.FeatureStore.load(tmp_path / "f.csv").features == store.features
+    assert features.Registry.load(tmp_path / "f.csv").features == store.features
     got = {r["entity"]: (r["call"], r["web"]) for r in features.snapshot(fixture(spark), "2016-02-26 23:00:00", store).collect()}
     assert got == {"1001": (None, "1"), "1002": ("6", "5"), "1003": (None, None)}
     chord = {r["entity"]: (r["call"], r["web"]) for r in features.chord(fixture(spark), "purchase", AT, store).collect()}

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, hashing, strings
+from millrace.functions import bounded, dates, hashing, strings
 
 
 @pytest.mark.parametrize(
@@ -45,3 +45,28 @@ def test_dates(spark):
     assert {r[0] for r in many.select(dates.parse_date(F.col("s")).cast("date")).collect()} == {dt.date(2016, 1, 4)}
     flags = spark.createDataFrame([(" YES ",), ("0",), ("maybe",)], "s string")
     assert [r[0] for r in flags.select(dates.parse_boolean(F.col("s"))).collect()] == [True, False, None]
+
+
+def test_every_date_pattern(spark):
+    """A day written by each pattern is read back, unless an earlier pattern reads it in another way."""
+    day = dt.datetime(2001, 12, 25, 13, 0, 0)
+    for pattern in dates.DATE_PATTERNS + dates.MORE_PATTERNS:
+        df = spark.createDataFrame([(day,)], "t timestamp").select(F.date_format("t", pattern.replace("EEE", "E")).alias("s"))
+        assert df.select(dates.parse_date(F.col("s")).cast("date")).first()[0] == day.date(), (pattern, df.first())
+    rows = spark.createDataFrame([("Wed, Jul 4, '01",), ("03/APR/15",), ("04.07.95",), ("2001-07-04 12",)], "s string")
+    assert [str(r[0]) for r in rows.select(dates.parse_date(F.col("s")).cast("date")).collect()] == ["2001-07-04", "2015-04-03", "1995-07-04", "2001-07-04"]
+
+
+def test_fast_hash_and_registered_functions(spark):
+    df = spark.createDataFrame([("",), ("abc",), (None,)], "s string")
+    got = [r[0] for r in df.select(hashing.fast_hash(F.col("s"))).collect()]
+    assert got[0] == "-1205034819632174695" and got[1] not in (None, got[0]) and got[2] is None  # of no bytes: the published test value
+    dates.register(spark)
+    assert spark.sql("SELECT hashKey('a'), unix_seconds(convertStringToTimestamp('2016-02-25 8:45', 'yyyy-MM-dd HH:mm'))").first() == ("0cc175b9c0f1b6a831c399e269772661", 1456389900)
+
+
+def test_bounded():
+    queue = bounded.Bounded(3, len).extend(["a", "bbb", "cc", "ddd", "e", "ffff"])
+    assert list(queue) == ["ffff", "bbb", "ddd"] and len(queue) == 3
+    queue.clear()
+    assert list(queue) == [] and list(bounded.Bounded(0).add(1)) == []

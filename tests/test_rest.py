@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.config import AppConfig
-from millrace.model import EVENT, FACT, ErrorThresholdReached, JobStep
+from millrace.model import EVENT, FACT, ErrorThresholdReached, JobStep, Quoting
 from millrace.operators import quality, resolve, scoring, star
 from millrace.plans import pipeline
 from millrace.plans.context import Context
@@ -143,23 +143,69 @@ def test_streaming(spark, tmp_path):
 
 
 def test_queries_have_oracles():
-    from millrace.plans import catalog
+    from millrace.plans import catalog, catalog_files
 
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"fast_hash"} and catalog_files.query is catalog.query
 
 
 def test_entry_without_llm(spark, monkeypatch):
-    import builtins
+    import importlib.util
 
     import __spark_entry__ as entry
 
-    real = builtins.__import__
-
-    def missing(name, *a, **k):
-        if name.startswith(("millrace.llm", "corpus_pipeline")):
-            raise ImportError(name)
-        return real(name, *a, **k)
-
-    monkeypatch.setattr(builtins, "__import__", missing)
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("millrace.llm", "corpus_pipeline")) else real(name, *a))
     assert "feature_snapshot" in entry.queries() and not any(k.startswith("op") or k == "pipeline" for k in entry.queries())
     assert F is not None
+
+
+def test_jdbc_reader():
+    """The reader hands its options to Spark; there is no database here."""
+
+    class Reader:
+        def __init__(self):
+            self.seen = {}
+
+        read = property(lambda self: self)
+
+        def format(self, name):
+            self.seen["format"] = name
+            return self
+
+        def options(self, **more):
+            self.seen.update(more)
+            return self
+
+        def load(self):
+            return self.seen
+
+    got = io.read_jdbc(Reader(), "jdbc:x://h/d", "t", "org.x.Driver", fetchsize="100")
+    assert got == {"format": "jdbc", "url": "jdbc:x://h/d", "dbtable": "t", "driver": "org.x.Driver", "fetchsize": "100"}
+
+
+def test_layout_settings():
+    assert sniffer.line_statistics([]) == (0.0, 0.0, 0.0) and sniffer.line_statistics(["ab", "abcd"]) == (3.0, 1.0, 1.0)
+    assert [q.value for q in Quoting] == ["minimal", "all", "nonnumeric", "none"] and sniffer.sniff('a,"b"\n')[0].quoting is Quoting.MINIMAL
+
+
+def test_python_steps_run_once(spark, tmp_path):
+    """With a threshold the steps run once for the count and the sink together."""
+    (tmp_path / "calls").mkdir()
+    seen = str(tmp_path / "calls")
+
+    def call(row, ctx):
+        import uuid
+
+        open(f"{seen}/{uuid.uuid4().hex}", "w").close()
+        return dt.datetime(2024, 1, row["x"])
+
+    step = pipeline.AppendColumn("t", "t", T.TimestampType(), call)
+    out = pipeline.RowPipeline("p").add(step)(spark.createDataFrame([(1,), (2,)], "x int"), Context(error_threshold=3))
+    assert sorted(r["t"] for r in out.collect()) == [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)] and out.count() == 2
+    assert len(list((tmp_path / "calls").iterdir())) == 2
+
+
+def test_graph_of_unknown_ends(spark):
+    m = spark.createDataFrame([("a", "x", "b", "y", 1.0)], "src_entity_id string, src_id_type string, dst_entity_id string, dst_id_type string, confidence double")
+    nodes, links = resolve.graph(m, spark.createDataFrame([("a", "x")], "id string, id_type string"))
+    assert {tuple(r) for r in nodes.collect()} == {("a", "x"), ("b", "Missing")} and links.count() == 2 and resolve.graph(m)[0].count() == 2

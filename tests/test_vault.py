@@ -131,3 +131,62 @@ def test_load_all(spark, tmp_path):
     logs = vault.Loader(store).load_all(config, PROCESS)
     assert [r.first()["inserts_count"] for r in logs] == [3, 3, 1, 1]
     assert "age_25_29" in store.read("demo_sat/current.parquet").columns and store.read("customer_mapping/current.parquet").first()["confidence"] == 0.7
+
+
+def broken_off(loader, at):
+    """A store whose driver is lost at a step of a load."""
+
+    def lost(*a, **k):
+        raise RuntimeError("lost")
+
+    return type("Lost", (vault.Store,), {at: lost})(loader.store.spark, loader.store.base)
+
+
+@pytest.mark.parametrize("step", ["replace", "write_changes", "write_log"])
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_lost_driver(spark, tmp_path, step, overwrite):
+    """A load cut off between its writes is finished by the next one; nothing is written twice."""
+    loader = vault.Loader(vault.Store(spark, str(tmp_path)))
+    how = {"is_delta": False, "overwrite": overwrite}
+    load(loader, customers(spark, 1, 21), **how)
+    later = vault.Process(dt.datetime(2024, 1, 12), process_id="p2")
+    with pytest.raises(RuntimeError):
+        load(vault.Loader(broken_off(loader, step)), customers(spark, 1, 16, 1), later, **how)
+    log = load(loader, customers(spark, 1, 16, 1), vault.Process(dt.datetime(2024, 1, 13), process_id="p3"), **how)
+    assert (log["inserts_count"], log["updates_count"], log["deletes_count"]) == (0, 0, 0)
+    history, current = loader.store.read("demo_sat/history.parquet"), loader.store.read("demo_sat/current.parquet")
+    assert history.groupBy("entity_id", "version", "rectype", "start_time").count().where("count > 1").count() == 0
+    assert history.count() == (35 if overwrite else 40) and current.count() == 20 and current.where("rectype = 'D'").count() == 5
+    assert loader.store.read("demo_sat/changed.parquet").count() == (30 if overwrite else 15)
+
+
+def test_swap_cut_off(spark, tmp_path):
+    store = vault.Store(spark, str(tmp_path))
+    store.replace(spark.range(3), "t.parquet")
+    spark.range(5).write.parquet(str(tmp_path / "t.parquet.next"))
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.prev")
+    assert store.read("t.parquet").count() == 5
+
+
+def test_duplicates_are_equal_rows(spark, tmp_path):
+    """Two different rows of a key are no duplicates."""
+    loader = vault.Loader(vault.Store(spark, str(tmp_path)))
+    log = load(loader, customers(spark, 1, 4).unionByName(customers(spark, 1, 2, 1)).unionByName(customers(spark, 3, 4)))
+    assert (log["duplicates_count"], log["inserts_count"]) == (1, 3)
+
+
+def test_logs_in_the_catalog(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS logs")
+    loader = vault.Loader(vault.Store(spark, str(tmp_path), catalog="logs"))
+    for _ in range(2):
+        load(loader, customers(spark, 1, 4))
+    assert spark.table("logs.process_log").count() == 2 and spark.table("logs.meta_log").where("name = 'source'").first()["value"] == "crm"
+    loader.store.spark.createDataFrame([("9",)], "cust_id string").write.saveAsTable("logs.feed")
+    config = AppConfig.from_dict({"data": {"hubs": [{"source": "logs.feed", "entity-type": "customer", "id-fields": ["cust_id"], "id-type": "Customer Number"}]}})
+    assert loader.load_all(config, PROCESS)[0].first()["inserts_count"] == 1
+    spark.sql("DROP DATABASE logs CASCADE")
+
+
+def test_deltas_leave_other_keys_alone(spark):
+    plan = vault.plan_changes(*(spark.createDataFrame([], "entity_id string, hashed_value long, end_time timestamp_ntz, rectype string, version int") for _ in range(2)), ["entity_id"], PROCESS.stamp, is_delta=True)
+    assert "FullOuter" not in plan._jdf.queryExecution().optimizedPlan().toString()
