@@ -74,18 +74,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, limit: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], limit: int) -> DataFrame:
     """rows with the columns of keyed (key, n, ...), null where it lacks the key; keyed has a row for each key.
 
     n tells how many rows have a key. At most limit keys are broadcast, those with the largest n; where there are
     more, rows of the others join by key, so that no task gets very many rows of one key.
     """
+    keys = [key] if isinstance(key, str) else key
     more = keyed.count() > limit
-    hot = (keyed.orderBy(F.desc("n"), key).limit(limit) if more else keyed).drop("n").withColumn("_hot", F.lit(True))
-    out = rows.join(F.broadcast(hot), key, "left")
+    hot = (keyed.orderBy(F.desc("n"), *keys).limit(limit) if more else keyed).drop("n").withColumn("_hot", F.lit(True))
+    out = rows.join(F.broadcast(hot), keys, "left")
     if not more:
         return out.drop("_hot")
-    rest = out.where("_hot is null").select(rows.columns).join(keyed.drop("n"), key, "left")
+    rest = out.where("_hot is null").select(rows.columns).join(keyed.drop("n"), keys, "left")
     return out.where("_hot").drop("_hot").unionByName(rest)
 
 

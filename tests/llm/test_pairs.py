@@ -164,6 +164,24 @@ def test_embeddings_edges(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_blocks_and_strips_agree(monkeypatch):
+    """Counts and components of all strips, within a block and between two, against the whole matrix."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(80, 8)), np.repeat(rng.normal(size=(3, 8)), 40, axis=0) + rng.normal(size=(120, 8)) * 0.15])
+    size, code = rng.integers(1, 5, len(x)), rng.integers(0, 2, (len(x), 2))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool) & (code[:, None, 0] != code[None, :, 0])
+    for strip in (7, 512):
+        monkeypatch.setattr(embedding_dedup, "STRIP", strip)
+        every = np.arange(len(x))
+        n, label = embedding_dedup.compare(x, code, size, 1, every, every)
+        assert (n == near @ size).all() and len(set(label)) == len(set(components(len(x), np.argwhere(near))))
+        left, right = every[::2], every[1::2]
+        n, label = embedding_dedup.compare(x, code, size, 1, left, right)
+        apart = near & (every[:, None] % 2 != every[None] % 2)
+        assert (n == apart @ size).all() and len(set(label)) == len(set(components(len(x), np.argwhere(apart))))
+
+
 def test_plan_keeps_recall():
     for n in (10, 1000, 10**6, 10**9):
         bits, tables = embedding_dedup.plan(n)
