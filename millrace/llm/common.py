@@ -57,6 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_from_files(df: DataFrame) -> DataFrame:
+    """df if it is files read row by row, which every pass over it partitions alike; else df written and read back."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter") and not node.nodeName().startswith(("LogicalRelation", "Relation")):
+            return materialize(df, "rows")
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return df
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
     for df in frames:

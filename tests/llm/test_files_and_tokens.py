@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -99,6 +100,32 @@ def test_boundaries_are_stitched(spark, tmp_path, block):
     assert got["b.bin"] == {0: (0, True), 1: (0, True), 2: (1, True)} and "c.bin" not in got
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_documents_across_files(spark, tmp_path, width):
+    """Files that are cut anywhere are one stream; blocks are scanned apart and stitched."""
+    rng = np.random.default_rng(width)
+    sizes = rng.integers(0, 30, 200)
+    flat = np.concatenate([np.append(rng.integers(1, 60_000, n), 0) for n in sizes]).astype(f"<u{width}")
+    cut = np.sort(rng.integers(0, len(flat), 12))
+    for k, part in enumerate(np.split(flat, cut)):
+        (tmp_path / f"s-{k:02d}.bin").write_bytes(part.tobytes())
+    stream = (F.lit("s"), F.regexp_extract("path", r"-(\d+)[.]bin", 1))
+    got = token_counts.counts(spark, str(tmp_path), block=16, width=width, stream=stream).orderBy("ordinal").collect()
+    assert [(r["n_tokens"], r["closed"]) for r in got] == [(n, True) for n in sizes]
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="ends within an id"):
+        token_counts.counts(spark, str(tmp_path / "odd.bin"), width=width).collect()
+
+
+def test_counts_of_rows_not_from_files(spark, library, monkeypatch):
+    """Rows that another plan could partition in another way keep their own counts; several files of a partition."""
+    monkeypatch.setattr(token_counts, "FILE_ROWS", 1)
+    monkeypatch.setattr(token_counts, "CHUNK", 60)
+    df = spark.range(300).selectExpr("id doc_id", "repeat('word ', cast(id % 37 as int)) text").repartition(7).groupBy("doc_id").agg(F.first("text").alias("text"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.document_counts(df, bpe.default_vocabulary()).collect()}
+    assert got == {k: len(library.encode("word " * (k % 37), add_special_tokens=False).ids) for k in range(300)}
+
+
 def raw_record(payload, page=1, kind="response", digest=None):
     http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
     digest = digest or hashlib.sha1(payload).hexdigest()
