@@ -2,15 +2,17 @@
 
 A text is cut into pieces at line ends and after sentence marks. Pieces are normalised (lower case, numbers
 as 0, everything but letters as single spaces) and looked up among known licence sentences; up to four pieces
-in a row are tried together. The sentences of the published licences and their headers (`PUBLISHED`) are found
-in the joined pieces as well, so however they are wrapped or commented, and as parts of longer sentences. The
-identifiers of a text, in order, form a sequence; ordered rules turn runs of it into licences, longer runs
-first. A version number in a sentence becomes part of the licence.
+in a row are tried together. All of these sentences, and those of the published licences, their headers and
+SPDX tags (`PUBLISHED`), are found in the joined pieces as well, so however many lines they are wrapped over or
+commented, and as parts of longer sentences. The identifiers of a text, in order, form a sequence; ordered rules
+turn runs of it into licences, longer runs first. A version number in a sentence becomes part of the licence.
 
 Everything happens within a row: no shuffle, no join, no Python. Texts without any of the words that all
-known sentences contain one of are not cut up.
+known sentences contain one of are not cut up; others are scanned whole, however long.
 
-Null and empty texts have no licences. Repeated rows give repeated rows. Only doc_id and text are read.
+Null and empty texts have no licences. Null ids stay null. Repeated rows give repeated rows, and sentences that
+are repeated in a text are reported as often. An empty table gives an empty result. Only doc_id and text are read,
+so other columns, also such with the names of results, change nothing.
 """
 
 from __future__ import annotations
@@ -107,6 +109,19 @@ def _creative_commons() -> list[tuple[str, str]]:
     return names + [(f"{_IS}licensed under cc {k.lower().replace('_', ' ')} #", f"CC_{k}") for k in parts]
 
 
+#: Names of licences in SPDX tags, as words, and as they are reported; # is a version: fixed values.
+SPDX = (
+    ("mit", "MIT"), ("isc", "ISC"), ("unlicense", "Unlicense"), ("zlib", "Zlib"), ("0bsd", "0BSD"), ("apache #", "Apache-+"), ("bsd 2 clause", "BSD-2-Clause"), ("bsd 3 clause", "BSD-3-Clause"),
+    ("mpl #", "MPL-+"), ("epl #", "EPL-+"), ("bsl #", "BSL-+"), ("cc0 #", "CC0-+"), ("cc by #", "CC-BY-+"), ("cc by sa #", "CC-BY-SA-+"), ("cc by nc #", "CC-BY-NC-+"), ("cc by nd #", "CC-BY-ND-+"),
+    *((f"{k} #{end}", f"{k.upper()}-+{name}") for k in ("gpl", "lgpl", "agpl") for end, name in ((" only", ""), (" or later", "-or-later"), ("(?! only)(?! or later)", ""))),
+)
+
+
+def _spdx() -> list[tuple[str, str]]:
+    """Tags and the identifiers SPDX_A, SPDX_B ... of their licences."""
+    return [(f"spdx license identifier {words}", f"SPDX_{chr(65 + k)}") for k, (words, _) in enumerate(SPDX)]
+
+
 #: Sentences of the published texts and headers as patterns of words, and their identifiers; # is a version.
 PUBLISHED = [
     (f"{_IS}licensed under the apache license version #", "APACHE_NOTICE"),
@@ -129,10 +144,13 @@ PUBLISHED = [
     ("this source code form is subject to the terms of the mozilla public license v #", "MPL_NOTICE"),
     ("mozilla public license version # 1 definitions", "MPL_NOTICE"),
     ("permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", "ISC_GRANT"),
+    ("this program is free software", "GPL_FREE"),
+    (_GNU.format("", "", "") + "(?! version)(?! either version)", "GPL_TERMS"),
+    *_spdx(),
 ]
 
 #: Rules of the identifiers that only published sentences have.
-PUBLISHED_RULES = tuple(((f"{i}_{kind}",), f"{i}-+{end}") for i in ("GPL", "LGPL", "AGPL") for kind, end in (("LATER", "-or-later"), ("ONLY", "")))
+PUBLISHED_RULES = tuple(((f"{i}_{kind}",), f"{i}-+{end}") for i in ("GPL", "LGPL", "AGPL") for kind, end in (("LATER", "-or-later"), ("ONLY", ""))) + tuple(((i,), name) for (_, i), (_, name) in zip(_spdx(), SPDX))
 
 
 def _lookup(key: str) -> str:

@@ -383,8 +383,11 @@ def test_published_licenses(spark):
         "CC-BY-SA-4.0": "This work is licensed under the Creative Commons\nAttribution-ShareAlike 4.0 International License.", "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not",
         "ISC": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
     }
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPL-2.0": "GPL-2.0-only", "LGPL-2.1": "LGPL-2.1", "BSD-3-Clause": "BSD-3-Clause", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0", "ISC": "ISC"}
     narrow = {k: "\n".join(textwrap.wrap(t, 24)) for k, t in texts.items()}
     rows = [(k, wrap(t)) for k, t in texts.items() for wrap in (str, lambda t: t.replace("\n", " "), lambda t: "/*\n * " + t.replace("\n", "\n * ") + "\n */\nint main;")]
+    rows += [(k, f"// SPDX-License-Identifier: {t}\nint x;") for k, t in tags.items()]
+    rows += [(k, "\n".join(t.split())) for k, t in texts.items()]  # a word a line
     rows += [(k, t) for k, t in narrow.items()] + [("", "the terms of the MIT are short; the license of this is Apache"), ("MIT", "All code here is released under the MIT license unless noted")]
     df = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
