@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from millrace.llm import common
 
 #: Words whose ids a Python worker remembers, in each of two generations.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 160_000
 
 
 def default_vocabulary() -> str:
@@ -121,6 +122,10 @@ def split_points(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+#: Packers of up to 15 ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class Encoder:
     """Ids of byte-level BPE for one vocabulary file."""
 
@@ -195,23 +200,22 @@ class Encoder:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: the last token of each prefix, then back from the end."""
         n = len(piece)
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        pairs, pair_ok, done = self._pairs, self.pair_ok, 0
+        last, size = [0] * (n + 1), [0] * (n + 1)
+        pairs, done = self._pairs, 0
         for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
             if end == done:
                 continue
-            before = end - length
-            if before:
-                key = last[before] << 20 | token
+            if end != length:
+                before = last[end - length]
+                key = before << 20 | token
                 ok = pairs.get(key)
                 if ok is None:
-                    ok = pairs[key] = pair_ok(last[before], token)
+                    ok = pairs[key] = self.pair_ok(before, token)
                 if not ok:
                     continue
             last[end], size[end], done = token, length, end
-        if len(pairs) > 200_000:
+        if len(pairs) > 400_000:
             pairs.clear()
         ids, at = [], n
         while at:
@@ -223,9 +227,13 @@ class Encoder:
 
     def _packed(self, piece: bytes) -> bytes:
         """Ids of a piece as little-endian 32-bit integers, remembered."""
+        found = self._new.get(piece)
+        if found is not None:
+            return found
         found = self._old.get(piece)
         if found is None:
-            found = np.array(self.encode_piece(piece), "<u4").tobytes()
+            ids = self.encode_piece(piece)
+            found = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self._new) >= self.cache_words:
                 self._old, self._new = self._new, {}
@@ -258,10 +266,10 @@ class Encoder:
         cut = np.append(at[start], len(raw)).tolist()
         first = np.append(np.searchsorted(start, begins), len(start)).tolist()
         pieces = [raw[a:b] for a, b in zip(cut, cut[1:])]
-        found = list(map(self._new.get, pieces))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = self._packed(pieces[i])
+        known = dict.fromkeys(pieces)  # a piece is looked up once for all texts
+        for piece in known:
+            known[piece] = self._packed(piece)
+        found = list(map(known.__getitem__, pieces))
         for k, lo, hi in zip(full, first, first[1:]):
             out[k] = b"".join(found[lo:hi])
         return out
