@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -81,9 +82,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now; else they stay until the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished queries now; else they stay until the driver's next collection.
+
+    After large queries on a cluster, one collection alone was seen to release nothing; the next one, right after it, did.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], limit: int) -> DataFrame:
