@@ -15,10 +15,10 @@ shingles. The steps:
    length. The longest are set aside; the short ones are merged by a heap (very many postings by merging sorted
    runs) and the documents counted that reach T less the number of long lists; those are looked up in the long
    lists by binary search.
-5. A group is cut into blocks of at most about `BLOCK` postings. Every block is searched; one member of each
-   component found in a block goes on to the next round, until the members that are left fit into one block.
-   What these links have not joined to the group's main component is then searched against the whole group, by
-   pairs of blocks. So a task holds two blocks at most, and no link between different texts is lost at any size.
+5. A group is cut into blocks of at most about `BLOCK` postings and `MEMBERS` members. Every block is searched;
+   one member of each component found in a block goes on to the next round, until the members that are left fit
+   into one block. What these links have not joined to the group's main component is then searched against the
+   whole group, by pairs of blocks of `BLOCK` postings, as rows are sent once for each pair. So a task holds two blocks at most, and no link between different texts is lost at any size.
 
 Shingles are compared by 64-bit hashes. Words are runs without ASCII white space, A-Z in lower case.
 Null and empty texts have no shingles and link with nothing. Texts of fewer than five words are one shingle.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -43,6 +43,8 @@ from millrace.llm import common
 WORDS = 5
 #: Postings that a block holds; more where there are so many texts that the buckets' shares would be tiny.
 BLOCK = 3 << 18
+#: Members that a block holds on average, at most.
+MEMBERS = 512
 #: Bytes of text for each shingle, as a guess for the number of buckets.
 SHINGLE_BYTES = 6
 SKETCH_BITS = 19
@@ -424,10 +426,18 @@ def _search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _link_batch(node, x, y)
 
 
-def _cut(member: DataFrame, by: str = "grp") -> DataFrame:
-    """member with the number of blocks of its group (parts) and its own block (part)."""
-    size = member.groupBy(by).agg(F.greatest(F.ceil(F.sum(F.length("toks")) / F.lit(8 * BLOCK)), F.lit(1)).cast("int").alias("parts"))
-    return member.join(size, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+def _blocks(size: Column) -> Column:
+    """Number of blocks for shingles of size bytes."""
+    return F.greatest(F.ceil(size / F.lit(8 * BLOCK)), F.lit(1)).cast("int")
+
+
+def _cut(member: DataFrame, small: bool = True) -> DataFrame:
+    """member with the number of blocks of its group (parts) and its own block (part); small: by members, too."""
+    parts = _blocks(F.sum(F.length("toks")))
+    if small:
+        parts = F.greatest(parts, F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int"))
+    size = member.groupBy("grp").agg(parts.alias("parts"))
+    return member.join(size, "grp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
 
 
 def _rounds(member: DataFrame) -> DataFrame:
@@ -453,8 +463,8 @@ def _rest(member: DataFrame, links: DataFrame) -> DataFrame:
     where = member.select("grp", "node", "toks").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).selectExpr("grp", "node", "component", "length(toks) size")
     most = where.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "component")).alias("m")).select("grp", F.col("m.component").alias("main"))
     left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node", "size"), "left")
-    asks = left.groupBy("grp").agg(F.greatest(F.ceil(F.sum("size") / F.lit(8 * BLOCK)), F.lit(1)).cast("int").alias("asks"))
-    every = member.join(asks, "grp")  # groups that are one component are done
+    asks = left.groupBy("grp").agg(_blocks(F.sum("size")).alias("asks"))
+    every = _cut(member.drop("parts", "part"), small=False).join(asks, "grp")  # groups that are one component are done
     index = every.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), "part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"))
     ask = every.join(left.select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")).cast("int").alias("i"))
     found = common.materialize(index.unionByName(ask).groupBy("grp", "i", "part").applyInArrow(_search_pairs, _FOUND).select("a", "b"), "rest")

@@ -65,9 +65,10 @@ def near_copies(seed=5):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [3 << 18, 500])
-def test_jaccard_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, members", [(3 << 18, 512), (500, 512), (3 << 18, 8)])
+def test_jaccard_brute_force(spark, monkeypatch, block, members):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
     docs = near_copies()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, node string, n_shingles int").repartition(5)
     got = sorted(map(tuple, jaccard_join.components(df).collect()))
