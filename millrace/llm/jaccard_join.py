@@ -8,7 +8,10 @@ shingles. The steps:
    searched, so copies are never expanded into pairs. A block of texts carries each class once, with its ids.
 2. Shared shingles. Shingles meet in hash buckets, as packed arrays; a bucket tells the blocks which of their
    shingles other classes hold, too. A class of which less than 3/4 do has no partner and is left out. Texts are
-   cut into shingles once, here; this is the only step in which all shingles move.
+   cut into shingles once, here; this is the only step in which all shingles move. A shingle takes as many bytes at
+   any size of the input: a block names its classes in a bucket only where their texts may be there twice, as a
+   bitmap of the hashes of repeated texts tells. Else a class that came in several blocks counts as several, which
+   keeps more shingles than are needed, never fewer.
 3. Coarse groups. In a common order (counts of a fixed-size sketch, then hash) two partners share a shingle
    among the first a - ceil(3a/4) + 1 of each. Connected components over these shingles bound the search.
 4. T-occurrence search (DivideSkip). Within a block of a group the lists of a query's shingles are sorted by
@@ -48,6 +51,8 @@ MEMBERS = 512
 #: Bytes of text for each shingle, as a guess for the number of buckets.
 SHINGLE_BYTES = 6
 SKETCH_BITS = 19
+#: Slots of the bitmap of repeated texts: fixed size, whatever the input. Where it fills up, more classes are named.
+TWIN_BITS = 22
 #: Dropped ids that are broadcast at most; more are joined by a shuffle.
 MARKED = 2_000_000
 #: Postings up to which short lists are merged by a heap.
@@ -119,21 +124,23 @@ class _Block:
         self.buckets, self.limit, self.parts, self.size = buckets, limit, [], 0
         self.name = TaskContext.get().partitionId() << 32  # a retried task gives its blocks the same names
 
-    def add(self, ids: list, texts: list[bytes]) -> None:
+    def add(self, ids: list, texts: list[bytes], twin: list[bool]) -> None:
+        """twin: whether the text may be there in other rows, too."""
         g, n = shingle_sets(texts)
         unknown = np.array([i is None for i in ids], bool)
-        self.parts.append((np.array([i or 0 for i in ids], np.int64), unknown, set_digests(g, n).view(np.int64), n, g))
+        self.parts.append((np.array([i or 0 for i in ids], np.int64), unknown, np.array(twin, bool), set_digests(g, n).view(np.int64), n, g))
         self.size += len(g) + len(ids)
 
     def full(self) -> bool:
         return self.size >= self.limit
 
     def rows(self) -> pa.RecordBatch:
-        ids, unknown, node, n, g = (np.concatenate(x) for x in zip(*self.parts))
+        ids, unknown, twin, node, n, g = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
         # documents by class; texts without shingles have the digest 0 and come as a class of their own
         known, keep, member, times = np.unique(np.where(n > 0, node, 0), return_index=True, return_inverse=True, return_counts=True)
         lost = np.bincount(member, unknown, len(known)).astype(np.int64)
+        twin = np.bincount(member, twin, len(known)) > 0
         order = np.lexsort((unknown, member))
         chosen = np.zeros(len(node), bool)
         chosen[keep] = True  # equal sets of the block count once
@@ -151,24 +158,39 @@ class _Block:
         block, self.name = self.name, self.name + 1
         # kinds 0 and 1 go straight back to the block: its classes with their ids, and shingles of several of its classes
         out = [(block, block, 0, np.stack([known, n[keep], times, lost]).tobytes(), ids[order].tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]), b"")]
-        uniq, owner = g[first], np.where(count > 1, -1, at[first]).astype(np.int32)
+        # a shingle's owner: 0 for several classes, else the place of its class and one
+        uniq, owner = g[first], np.where(count > 1, 0, at[first] + 1).astype(_place(len(known)))
         cut = np.searchsorted((uniq >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), np.arange(self.buckets + 1))
         for k in range(self.buckets):
             lo, hi = cut[k], cut[k + 1]
             if lo < hi:
-                some, place = np.unique(owner[lo:hi], return_inverse=True)
-                some = some[some >= 0]
-                place = place + (1 if len(some) and owner[lo:hi].min() >= 0 else 0)  # 0: several classes
-                out.append((k, block, 2, pack(uniq[lo:hi]), _planes((place * (len(some) > 0)).astype(np.uint16 if len(some) < 65535 else np.uint32)), some.astype(np.int32).tobytes() + known[some].tobytes()))
+                some = np.unique(owner[lo:hi])
+                some = some[some > 0].astype(np.int32) - 1
+                some = some[twin[some]]
+                out.append((k, block, 2, pack(uniq[lo:hi]), _planes(owner[lo:hi]), some.tobytes() + known[some].tobytes()))
         cols = list(zip(*out))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "block", "kind", "a", "b", "c"])
 
 
-def _owners(raw: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's share in a bucket: each shingle's place among the owners (0: several), the owners and their classes."""
-    some = np.frombuffer(c, np.int32, len(c) // 12)
-    return _unplanes(raw, np.uint16 if len(some) < 65535 else np.uint32), some, np.frombuffer(c, np.int64, offset=4 * len(some))
+def _place(classes: int):
+    """Type of the owners in a block of so many classes."""
+    return np.uint16 if classes < 65535 else np.uint32
+
+
+#: Instead of a class: several classes of a block, or a class that no other block is known to hold.
+_SEVERAL, _ALONE = np.iinfo(np.int64).min, np.iinfo(np.int64).min + 1
+
+
+def _owners(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's share in a bucket: each shingle's owner, and its class, _SEVERAL or _ALONE."""
+    owner = _unplanes(b, np.uint16 if 4 * len(b) == len(a) else np.uint32).astype(np.int32)
+    node = np.where(owner > 0, _ALONE, _SEVERAL)
+    if c:
+        some = np.frombuffer(c, np.int32, len(c) // 12)
+        at = np.minimum(np.searchsorted(some, owner - 1), len(some) - 1)
+        node = np.where(some[at] == owner - 1, np.frombuffer(c, np.int64, offset=4 * len(some))[at], node)
+    return owner, node
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +201,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         g = np.concatenate([unpack(x[2]) for x in held])
         size = np.array([len(x[2]) // 8 for x in held])
-        place, node, most = np.empty(len(g), np.uint32), np.empty(len(g), np.int64), np.iinfo(np.int64)
+        owner, node = np.empty(len(g), np.int32), np.empty(len(g), np.int64)
         stop = np.cumsum(size)
-        for (_, _, _, b, c), hi, k in zip(held, stop, size):
-            place[hi - k : hi], _, known = _owners(b, c)
-            node[hi - k : hi] = np.append(most.min, known)[place[hi - k : hi]]
+        for (_, _, a, b, c), hi, k in zip(held, stop, size):
+            owner[hi - k : hi], node[hi - k : hi] = _owners(a, b, c)
         order = np.argsort(g, kind="stable")
         s = g[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        times = np.diff(np.append(first, len(s)))
         low, high = (f.reduceat(node[order], first) for f in (np.minimum, np.maximum))
-        shared = (low != high) | (low == most.min)  # the least value stands for several classes of a block
+        shared = (low != high) | (low == _SEVERAL) | ((low == _ALONE) & (times > 1))
         back = np.empty(len(g), bool)
-        back[order] = np.repeat(shared, np.diff(np.append(first, len(s))))
-        back &= place > 0
-        for (block, _, _, _, c), hi, k in zip(held, stop, size):
+        back[order] = np.repeat(shared, times)
+        back &= owner > 0
+        for (block, _, _, _, _), hi, k in zip(held, stop, size):
             pick = np.flatnonzero(back[hi - k : hi]) + hi - k
             if len(pick):
-                some = np.frombuffer(c, np.int32, len(c) // 12)
-                out.append((block, 1, pack(g[pick]), _planes(some[place[pick] - 1])))
+                out.append((block, 1, pack(g[pick]), _planes(owner[pick] - np.int32(1))))
     for low in range(0, len(out), 64):
         cols = list(zip(*out[low : low + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "a", "b"])
@@ -231,6 +252,16 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.release()
 
 
+def _repeated(docs: DataFrame) -> np.ndarray:
+    """Bitmap of the hashes (column twin) of texts that several rows hold."""
+    slots = 1 << TWIN_BITS
+    slot = F.expr(f"cast(twin & {slots - 1} as int)")
+    found = docs.groupBy("twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(slot.alias("slot")).distinct().toArrow()  # at most `slots` rows
+    out = np.zeros(slots, bool)
+    out[found.column("slot").to_numpy()] = True
+    return np.packbits(out, bitorder="little")
+
+
 def class_table(docs: DataFrame) -> DataFrame:
     """(node, block, n, ids, toks): the classes of each block of texts, with their documents.
 
@@ -240,18 +271,22 @@ def class_table(docs: DataFrame) -> DataFrame:
     total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHINGLE_BYTES
     limit = max(BLOCK, int((16 * total) ** 0.5))
     buckets = max(4, int(total) // (2 * limit) + 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("twin"))
+    repeated, mask = spark.sparkContext.broadcast(_repeated(rows.select("twin"))), (1 << TWIN_BITS) - 1
 
     def send(batches):
         block = _Block(buckets, limit)
         for batch in batches:
-            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1))), lambda r: len(r[1] or b"")):
-                block.add([r[0] for r in part], [r[1] or b"" for r in part])
+            slot = batch.column(2).to_numpy() & mask
+            twin = (repeated.value[slot >> 3] >> (slot & 7)) & 1
+            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), twin), lambda r: len(r[1] or b"")):
+                block.add([r[0] for r in part], [r[1] or b"" for r in part], [r[2] for r in part])
                 if block.full():
                     yield block.rows()
         if block.parts:
             yield block.rows()
 
-    sent = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(send, _BLOB)
+    sent = rows.mapInArrow(send, _BLOB)
     back = sent.groupBy("key").applyInArrow(_meet, "block long, kind int, a binary, b binary")
     out = common.materialize(back.groupBy("block").applyInArrow(_survivors, _SETS), "classes")
     common.release_shuffles(spark)

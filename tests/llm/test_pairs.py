@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import common, decontaminate, embedding_dedup, jaccard_join
 
@@ -99,6 +100,35 @@ def test_one_of_each_of_odd_rows(spark, monkeypatch, marked):
     assert jaccard_join.one_of_each(df).count() == 7
 
 
+@pytest.mark.parametrize("bits", [22, 3])
+def test_copies_in_several_blocks(spark, monkeypatch, bits):
+    """Copies, copies in other case and near copies that lie in different blocks; with a bitmap that is full, too."""
+    monkeypatch.setattr(jaccard_join, "TWIN_BITS", bits)
+    say = lambda k: " ".join(f"s{k}w{i}" for i in range(60))
+    docs = list(enumerate([say(1)] * 6 + [say(2), say(2).upper(), say(2) + " end"] + [say(3), say(3).upper()] + [say(k) for k in range(4, 30)]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(len(docs), "doc_id")
+    assert sorted(map(tuple, jaccard_join.components(df).collect())) == brute_jaccard(docs)
+    # copies alone are no partners of a class
+    classes = jaccard_join.class_table(df.where("doc_id < 6 or doc_id > 10"))
+    assert classes.agg(F.count("node")).first()[0] > 26 and not classes.where("toks is not null").count()
+
+
+def test_shingles_take_as_many_bytes_in_many_buckets(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    monkeypatch.setattr(jaccard_join, "TaskContext", Task)
+    texts = [b" ".join(b"%d-%d" % (k, i) for i in range(64)) for k in range(500)]
+    size = []
+    for buckets in (4, 400):
+        block = jaccard_join._Block(buckets, 1)
+        block.add(list(range(500)), texts, [False] * 500)
+        rows = block.rows()
+        size.append(sum(len(x) for c in "abc" for x in rows.column(c).to_pylist()))
+    assert size[1] <= 1.1 * size[0] and size[1] < 12 * 500 * 60
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 300, dtype=np.uint64)
