@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -48,11 +49,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries within delete their shuffle files as they end; the session's setting comes back after them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there."""
+    """Writes df to the shared folder and reads it back: the lineage ends there, and the shuffle files of the write go.
+
+    Left to the driver's collections, more than half of the shuffle files of a large write were seen to outlive it.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -129,6 +130,19 @@ def test_shingles_take_as_many_bytes_in_many_buckets(monkeypatch):
     assert size[1] <= 1.1 * size[0] and size[1] < 12 * 500 * 60
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(key, None)
+    out = common.materialize(spark.range(0, 100000, 1, 4).groupBy(F.expr("id % 1000")).count(), "counted")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000 and spark.conf.get(key, None) == was
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**60, 300, dtype=np.uint64)
