@@ -6,14 +6,19 @@ shingles. The steps:
 
 1. Classes. Documents with equal sets form a class, named by a 64-bit digest of its set. Only classes are
    searched, so copies are never expanded into pairs. A block of texts carries each class once, with its ids.
-2. Shared shingles. Shingles meet in hash buckets, as packed arrays; a bucket tells the blocks which of their
-   shingles other classes hold, too. A class of which less than 3/4 do has no partner and is left out. Texts are
-   cut into shingles once, here; this is the only step in which all shingles move. A shingle takes as many bytes at
-   any size of the input: a block names its classes in a bucket only where their texts may be there twice, as a
-   bitmap of the hashes of repeated texts tells. Else a class that came in several blocks counts as several, which
-   keeps more shingles than are needed, never fewer.
-3. Coarse groups. In a common order (counts of a fixed-size sketch, then hash) two partners share a shingle
-   among the first a - ceil(3a/4) + 1 of each. Connected components over these shingles bound the search.
+2. Hubs. Of each set the first `prefix_size(n)` shingles in a random order, about half of it, meet in hash buckets, as
+   packed arrays. Two partners share `least_shared(n)` of those at least, n the size of the smaller. Every shingle that
+   several classes send has a hub, the least label of these classes, which goes back to the blocks that sent it. A
+   class with fewer shared shingles than any partner needs is left out. A shingle takes as many bytes at any size of
+   the input: a block names its classes in a bucket only where their texts may be there twice, as a bitmap of the hashes
+   of repeated texts tells. Else a class that came in several blocks counts as several, which keeps more hubs than
+   are needed, never fewer.
+3. Coarse groups. A class forgets the hubs with the fewest of its shingles, `spare(n)` shingles in all at most. What two
+   partners forget is less than what they share, so they keep a hub in common: connected components of classes and
+   hubs bound the search. Shingles that unlike texts share by chance are few for each text and are forgotten, so
+   that groups don't grow together with the input. Texts of groups of several classes are cut into shingles again, and
+   their whole sets meet once more: then a class needs 3/4 of its shingles shared, and may forget 3/7 of them, as
+   two partners share 3/7 of their sizes' sum. What passages and frequent phrases alone had joined falls apart.
 4. T-occurrence search (DivideSkip). Within a block of a group the lists of a query's shingles are sorted by
    length. The longest are set aside; the short ones are merged by a heap (very many postings by merging sorted
    runs) and the documents counted that reach T less the number of long lists; those are looked up in the long
@@ -21,7 +26,9 @@ shingles. The steps:
 5. A group is cut into blocks of at most about `BLOCK` postings and `MEMBERS` members. Every block is searched;
    one member of each component found in a block goes on to the next round, until the members that are left fit
    into one block. What these links have not joined to the group's main component is then searched against the
-   whole group, by pairs of blocks of `BLOCK` postings, as rows are sent once for each pair. So a task holds two blocks at most, and no link between different texts is lost at any size.
+   whole group, by pairs of blocks of `BLOCK` postings, as rows are sent once for each pair, `ASKS` blocks of
+   queries at a time. So a task holds two blocks at most, the disk a few times the group, and no link between
+   different texts is lost at any size.
 
 Shingles are compared by 64-bit hashes. Words are runs without ASCII white space, A-Z in lower case.
 Null and empty texts have no shingles and link with nothing. Texts of fewer than five words are one shingle.
@@ -34,6 +41,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +58,12 @@ BLOCK = 3 << 18
 MEMBERS = 512
 #: Bytes of text for each shingle, as a guess for the number of buckets.
 SHINGLE_BYTES = 6
-SKETCH_BITS = 19
+#: Bits of a class's label. Equal labels of two classes join their groups, which loses no link.
+LABEL_BITS = 40
+#: Slots of the bitmap of the texts that are cut into shingles again: fixed size. Where it fills up, more texts are.
+WANTED_BITS = 24
+#: Blocks of queries that are searched at a time against the whole of their group.
+ASKS = 4
 #: Slots of the bitmap of repeated texts: fixed size, whatever the input. Where it fills up, more classes are named.
 TWIN_BITS = 22
 #: Dropped ids that are broadcast at most; more are joined by a shuffle.
@@ -60,7 +73,7 @@ HEAP = 1 << 11
 #: Share of DivideSkip's long lists: T / (MU * log2(longest list) + 1).
 MU = 0.5
 
-_SHORT = np.uint64(0x5851F42D4C957F2D)
+_SHORT, _ORDER = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +106,56 @@ def set_digests(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-# Shared shingles -------------------------------------------------------------------------------------
+# Hubs ------------------------------------------------------------------------------------------------
+
+
+def prefix_size(n):
+    """Number of a set's first shingles that hold enough of what it shares with any partner.
+
+    A partner has ceil(3n/4) of the n shingles at least. All but ceil(3n/4) - ceil(n/4) are among the first
+    prefix_size(n), and so are the first ceil(n/4) shared ones; the same holds for the partner's set.
+    """
+    return n - (3 * n + 3) // 4 + (n + 3) // 4
+
+
+def least_shared(n):
+    """Number of shingles that the prefixes of a set and of any partner have in common, at least; 3n/4 is the least size of one."""
+    return ((3 * n + 3) // 4 + 3) // 4
+
+
+def spare(n):
+    """Number of shared shingles that a set may forget: less than half of those of a partner, whichever is smaller."""
+    return (least_shared(n) - 1) // 2
+
+
+def prefixes(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of sets, each by hash, and their sizes."""
+    d = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((common.mix(g ^ _ORDER), d))
+    size = prefix_size(n)
+    chosen = np.zeros(len(g), bool)
+    chosen[order[np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)]] = True
+    return g[chosen], size
+
+
+def heavy_hubs(at: np.ndarray, hub: np.ndarray, n: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(set, hub) that sets of n shingles keep; a row (at, hub) for each shared shingle of set at, in its prefix or the whole."""
+    least, forgotten = ((3 * n + 3) // 4, (3 * n + 6) // 7 - 1) if whole else (least_shared(n), spare(n))
+    ok = np.bincount(at, minlength=len(n)) >= np.maximum(least, 1)
+    at, hub = at[ok[at]], hub[ok[at]]
+    if not len(at):
+        return at, hub
+    order = np.lexsort((hub, at))
+    at, hub = at[order], hub[order]
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (hub[1:] != hub[:-1])))
+    weight = np.diff(np.append(first, len(at)))
+    at, hub = at[first], hub[first]
+    order = np.lexsort((hub, weight, at))
+    at, hub, total = at[order], hub[order], np.cumsum(weight[order])
+    start = np.searchsorted(at, at)
+    kept = total - np.append(0, total)[start] > forgotten[at]
+    return at[kept], hub[kept]
+
 
 _BLOB = "key long, block long, kind int, a binary, b binary, c binary"
 
@@ -124,18 +186,24 @@ class _Block:
         self.buckets, self.limit, self.parts, self.size = buckets, limit, [], 0
         self.name = TaskContext.get().partitionId() << 32  # a retried task gives its blocks the same names
 
-    def add(self, ids: list, texts: list[bytes], twin: list[bool]) -> None:
-        """twin: whether the text may be there in other rows, too."""
+    def add(self, ids: list, texts: list[bytes], twin: list[bool], name: list[int] | None = None) -> None:
+        """twin: whether the text may be there in other rows, too; name: its hash."""
         g, n = shingle_sets(texts)
         unknown = np.array([i is None for i in ids], bool)
-        self.parts.append((np.array([i or 0 for i in ids], np.int64), unknown, np.array(twin, bool), set_digests(g, n).view(np.int64), n, g))
+        self.parts.append((np.array([i or 0 for i in ids], np.int64), unknown, np.array(twin, bool), np.array(name or [0] * len(ids), np.int64), set_digests(g, n).view(np.int64), n, *prefixes(g, n)))
         self.size += len(g) + len(ids)
 
+    def add_sets(self, node: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
+        """Whole sets of different classes."""
+        none = np.zeros(len(node), bool)
+        self.parts.append((node, none, none, np.zeros(len(node), np.int64), node, n, g, n))
+        self.size += len(g) + len(node)
+
     def full(self) -> bool:
         return self.size >= self.limit
 
     def rows(self) -> pa.RecordBatch:
-        ids, unknown, twin, node, n, g = (np.concatenate(x) for x in zip(*self.parts))
+        ids, unknown, twin, name, node, n, g, size = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
         # documents by class; texts without shingles have the digest 0 and come as a class of their own
         known, keep, member, times = np.unique(np.where(n > 0, node, 0), return_index=True, return_inverse=True, return_counts=True)
@@ -144,30 +212,22 @@ class _Block:
         order = np.lexsort((unknown, member))
         chosen = np.zeros(len(node), bool)
         chosen[keep] = True  # equal sets of the block count once
-        g = g[np.repeat(chosen, n)]
+        g = g[np.repeat(chosen, size)]
         rank = np.empty(len(node), np.int32)
         rank[keep] = np.arange(len(keep))
-        at = np.repeat(rank[chosen], n[chosen])
+        owner = np.repeat(rank[chosen], size[chosen]).astype(_place(len(known)))
         by = np.argsort(g, kind="stable")
-        g, at = g[by], at[by]
-        new = np.ones(len(g), bool)
-        new[1:] = g[1:] != g[:-1]
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(g)))
-        many = np.repeat(count > 1, count)
+        g, owner = g[by], owner[by]
         block, self.name = self.name, self.name + 1
-        # kinds 0 and 1 go straight back to the block: its classes with their ids, and shingles of several of its classes
-        out = [(block, block, 0, np.stack([known, n[keep], times, lost]).tobytes(), ids[order].tobytes(), b""), (block, block, 1, pack(g[many]), _planes(at[many]), b"")]
-        # a shingle's owner: 0 for several classes, else the place of its class and one
-        uniq, owner = g[first], np.where(count > 1, 0, at[first] + 1).astype(_place(len(known)))
-        cut = np.searchsorted((uniq >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), np.arange(self.buckets + 1))
+        # kind 0 goes straight back to the block: its classes with their ids
+        out = [(block, block, 0, np.stack([known, n[keep], times, lost, name[keep]]).tobytes(), ids[order].tobytes(), b"")]
+        cut = np.searchsorted((g >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), np.arange(self.buckets + 1))
         for k in range(self.buckets):
             lo, hi = cut[k], cut[k + 1]
             if lo < hi:
-                some = np.unique(owner[lo:hi])
-                some = some[some > 0].astype(np.int32) - 1
+                some = np.unique(owner[lo:hi]).astype(np.int32)
                 some = some[twin[some]]
-                out.append((k, block, 2, pack(uniq[lo:hi]), _planes(owner[lo:hi]), some.tobytes() + known[some].tobytes()))
+                out.append((k, block, 2, pack(g[lo:hi]), _planes(owner[lo:hi]), some.tobytes() + known[some].tobytes()))
         cols = list(zip(*out))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "block", "kind", "a", "b", "c"])
@@ -178,175 +238,213 @@ def _place(classes: int):
     return np.uint16 if classes < 65535 else np.uint32
 
 
-#: Instead of a class: several classes of a block, or a class that no other block is known to hold.
-_SEVERAL, _ALONE = np.iinfo(np.int64).min, np.iinfo(np.int64).min + 1
+#: Instead of a class: one that no other block is known to hold.
+_ALONE = np.iinfo(np.int64).min
 
 
 def _owners(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of a block's share in a bucket: each shingle's owner, and its class, _SEVERAL or _ALONE."""
+    """Of a block's share in a bucket: each shingle's owner, and its class or _ALONE."""
     owner = _unplanes(b, np.uint16 if 4 * len(b) == len(a) else np.uint32).astype(np.int32)
-    node = np.where(owner > 0, _ALONE, _SEVERAL)
+    node = np.full(len(owner), _ALONE)
     if c:
         some = np.frombuffer(c, np.int32, len(c) // 12)
-        at = np.minimum(np.searchsorted(some, owner - 1), len(some) - 1)
-        node = np.where(some[at] == owner - 1, np.frombuffer(c, np.int64, offset=4 * len(some))[at], node)
+        at = np.minimum(np.searchsorted(some, owner), len(some) - 1)
+        node = np.where(some[at] == owner, np.frombuffer(c, np.int64, offset=4 * len(some))[at], node)
     return owner, node
 
 
+def _labels(block: int, owner: np.ndarray) -> np.ndarray:
+    """Labels of the classes of a block, in random order."""
+    base = common.mix(np.array([block], np.int64).view(np.uint64))
+    return (common.mix(base + owner.astype(np.uint64)) >> np.uint64(64 - LABEL_BITS)).view(np.int64)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's entries: shingles of several classes go back to the blocks that hold them once."""
+    """A bucket's entries: the hubs of the shingles of several classes go back to the blocks that sent them."""
     held = [x for t in batches for x in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "a", "b", "c")))]
     out = [x[:4] for x in held if x[1] < 2]
     held = [x for x in held if x[1] == 2]
     if held:
         g = np.concatenate([unpack(x[2]) for x in held])
         size = np.array([len(x[2]) // 8 for x in held])
-        owner, node = np.empty(len(g), np.int32), np.empty(len(g), np.int64)
+        owner, node, label = np.empty(len(g), np.int32), np.empty(len(g), np.int64), np.empty(len(g), np.int64)
         stop = np.cumsum(size)
-        for (_, _, a, b, c), hi, k in zip(held, stop, size):
+        for (block, _, a, b, c), hi, k in zip(held, stop, size):
             owner[hi - k : hi], node[hi - k : hi] = _owners(a, b, c)
+            label[hi - k : hi] = _labels(block, owner[hi - k : hi])
         order = np.argsort(g, kind="stable")
         s = g[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         times = np.diff(np.append(first, len(s)))
         low, high = (f.reduceat(node[order], first) for f in (np.minimum, np.maximum))
-        shared = (low != high) | (low == _SEVERAL) | ((low == _ALONE) & (times > 1))
-        back = np.empty(len(g), bool)
-        back[order] = np.repeat(shared, times)
-        back &= owner > 0
+        shared = (low != high) | ((low == _ALONE) & (times > 1))
+        hub = np.empty(len(g), np.int64)
+        hub[order] = np.repeat(np.where(shared, np.minimum.reduceat(label[order], first), -1), times)
         for (block, _, _, _, _), hi, k in zip(held, stop, size):
-            pick = np.flatnonzero(back[hi - k : hi]) + hi - k
+            pick = np.flatnonzero(hub[hi - k : hi] >= 0) + hi - k
             if len(pick):
-                out.append((block, 1, pack(g[pick]), _planes(owner[pick] - np.int32(1))))
+                out.append((block, 1, _planes(hub[pick]), _planes(owner[pick])))
     for low in range(0, len(out), 64):
         cols = list(zip(*out[low : low + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "a", "b"])
     common.release()
 
 
-_SETS = "node long, block long, n long, ids array<long>, toks binary"
+_CLASSES = "node long, block long, n long, ids array<long>, name long, hubs array<long>"
 
 
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's classes with their documents; with the shared shingles where those are at least 3/4 of the set."""
+def _with_hubs(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """A block's classes with their documents; with the hash of a text and the hubs of those that may have partners."""
     rows = [x for t in batches for x in zip(*(t.column(c).to_pylist() for c in ("block", "kind", "a", "b")))]
     block, _, head, raw = next(x for x in rows if x[1] == 0)
-    node, n, times, lost = np.frombuffer(head, np.int64).reshape(4, -1)
+    node, n, times, lost, name = np.frombuffer(head, np.int64).reshape(5, -1)
     ids, stop = np.frombuffer(raw, np.int64), np.cumsum(times)
-    g = np.concatenate([unpack(a) for _, k, a, _ in rows if k == 1])
-    at = np.concatenate([_unplanes(b, np.int32) for _, k, _, b in rows if k == 1])
-    ok = (4 * np.bincount(at, minlength=len(node)) >= 3 * n) & (n > 0)
-    keep = ok[at]
-    g, at = g[keep], at[keep]
-    order = np.lexsort((g, at))
-    g, at = g[order], at[order]
+    hub, at = (np.concatenate([np.empty(0, t), *(_unplanes(x[c], t) for x in rows if x[1] == 1)]) for c, t in ((2, np.int64), (3, np.int32)))
+    at, hub = heavy_hubs(at, hub, n, whole)
     cut = np.searchsorted(at, np.arange(len(node) + 1))
     for low in range(0, len(node), 256):
         part = range(low, min(low + 256, len(node)))
         own = [ids[stop[k] - times[k] : stop[k] - lost[k]].tolist() + [None] * int(lost[k]) for k in part]
-        toks = [pack(g[cut[k] : cut[k + 1]]) if ok[k] else None for k in part]
+        hubs = [hub[cut[k] : cut[k + 1]].tolist() or None for k in part]
+        some = slice(low, low + 256)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[low : low + 256], mask=n[low : low + 256] == 0), pa.array([block] * len(part), pa.int64()), pa.array(n[low : low + 256]), pa.array(own, pa.list_(pa.int64())), pa.array(toks, pa.binary())],
-            ["node", "block", "n", "ids", "toks"],
+            [pa.array(node[some], mask=n[some] == 0), pa.array([block] * len(part), pa.int64()), pa.array(n[some]), pa.array(own, pa.list_(pa.int64())), pa.array(name[some]), pa.array(hubs, pa.list_(pa.int64()))],
+            ["node", "block", "n", "ids", "name", "hubs"],
         )
     common.release()
 
 
-def _repeated(docs: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes (column twin) of texts that several rows hold."""
-    slots = 1 << TWIN_BITS
-    slot = F.expr(f"cast(twin & {slots - 1} as int)")
-    found = docs.groupBy("twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(slot.alias("slot")).distinct().toArrow()  # at most `slots` rows
+def _bitmap(names: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the hashes in the only column of names: fixed size, whatever the input."""
+    slots = 1 << bits
+    found = names.toDF("name").selectExpr(f"cast(name & {slots - 1} as int) slot").distinct().toArrow()  # at most `slots` rows
     out = np.zeros(slots, bool)
     out[found.column("slot").to_numpy()] = True
     return np.packbits(out, bitorder="little")
 
 
-def class_table(docs: DataFrame) -> DataFrame:
-    """(node, block, n, ids, toks): the classes of each block of texts, with their documents.
+def _marked(names: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each of the hashes."""
+    slot = names.to_numpy() & (8 * len(bitmap) - 1)
+    return (bitmap[slot >> 3] >> (slot & 7)) & 1 > 0
+
 
-    node is null for texts without shingles; toks holds the shared shingles of classes that may have partners.
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("name"))
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """(node, block, n, ids, name, hubs): the classes of each block of texts, with their documents.
+
+    node is null for texts without shingles; name is the hash of one of the texts, hubs what a class that may have
+    partners has in common with them.
     """
     spark = docs.sparkSession
-    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHINGLE_BYTES
-    limit = max(BLOCK, int((16 * total) ** 0.5))
-    buckets = max(4, int(total) // (2 * limit) + 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("twin"))
-    repeated, mask = spark.sparkContext.broadcast(_repeated(rows.select("twin"))), (1 << TWIN_BITS) - 1
+    limit, buckets = _sizes((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHINGLE_BYTES)
+    rows = _named(docs)
+    repeated = spark.sparkContext.broadcast(_bitmap(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), TWIN_BITS))
 
     def send(batches):
         block = _Block(buckets, limit)
         for batch in batches:
-            slot = batch.column(2).to_numpy() & mask
-            twin = (repeated.value[slot >> 3] >> (slot & 7)) & 1
-            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), twin), lambda r: len(r[1] or b"")):
-                block.add([r[0] for r in part], [r[1] or b"" for r in part], [r[2] for r in part])
+            twin = _marked(batch.column(2), repeated.value)
+            for part in common.chunks(zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), twin, batch.column(2).to_pylist()), lambda r: len(r[1] or b"")):
+                block.add([r[0] for r in part], [r[1] or b"" for r in part], [r[2] for r in part], [r[3] for r in part])
                 if block.full():
                     yield block.rows()
         if block.parts:
             yield block.rows()
 
-    sent = rows.mapInArrow(send, _BLOB)
+    return _hubs(rows.mapInArrow(send, _BLOB), False)
+
+
+def _sizes(total: int) -> tuple[int, int]:
+    """For so many shingles: those that a block holds, and the number of buckets."""
+    limit = max(BLOCK, int((16 * total) ** 0.5))
+    return limit, max(4, int(total) // (2 * limit) + 1)
+
+
+def _hubs(sent: DataFrame, whole: bool) -> DataFrame:
     back = sent.groupBy("key").applyInArrow(_meet, "block long, kind int, a binary, b binary")
-    out = common.materialize(back.groupBy("block").applyInArrow(_survivors, _SETS), "classes")
-    common.release_shuffles(spark)
-    return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _with_hubs(batches, whole)
 
-# Coarse groups ---------------------------------------------------------------------------------------
+    out = common.materialize(back.groupBy("block").applyInArrow(run, _CLASSES), "classes")
+    common.release_shuffles(sent.sparkSession)
+    return out
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of all shingles in 2 ** SKETCH_BITS slots: fixed size, whatever the input."""
-    slots = 1 << SKETCH_BITS
+def meet_again(sets: DataFrame) -> DataFrame:
+    """The same of whole sets (grp, node, n, toks)."""
+    limit, buckets = _sizes(sets.agg(F.sum("n")).first()[0] or 0)
 
-    def run(batches):
-        total = np.zeros(slots, np.int64)
+    def send(batches):
+        block = _Block(buckets, limit)
         for batch in batches:
-            for toks in batch.column(0).to_pylist():
-                slot = (unpack(toks) & np.uint64(slots - 1)).astype(np.int64)
-                np.add.at(total, slot, 1)
-        some = np.flatnonzero(total)
-        for low in range(0, len(some), 1 << 16):
-            part = some[low : low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
-
-    counted = sets.select("toks").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most `slots` rows
-    out = np.zeros(slots, np.int64)
-    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return out
+            for part in common.chunks(zip(*(batch.column(c).to_pylist() for c in range(3))), lambda r: len(r[2])):
+                node, n, toks = zip(*part)
+                block.add_sets(np.array(node, np.int64), np.array(n, np.int64), np.concatenate([unpack(t) for t in toks]))
+                if block.full():
+                    yield block.rows()
+        if block.parts:
+            yield block.rows()
+
+    return _hubs(sets.select("node", "n", "toks").mapInArrow(send, _BLOB), True)
 
 
-def prefix(g: np.ndarray, n: int, sketch: np.ndarray) -> np.ndarray:
-    """The shared shingles among the first n - ceil(3n/4) + 1 of a set; unshared ones come first of all."""
-    length = n - (3 * n + 3) // 4 + 1 - (n - len(g))
-    if length <= 0:
-        return g[:0]
-    order = np.lexsort((g, sketch[(g & np.uint64(len(sketch) - 1)).astype(np.int64)]))
-    return g[order[:length]]
+# Coarse groups ---------------------------------------------------------------------------------------
 
 
-def coarse_groups(sets: DataFrame) -> DataFrame:
-    """(node, grp) of the classes that share a prefix shingle with another class."""
-    sketch = _sketch(sets)
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+def coarse_groups(classes: DataFrame) -> DataFrame:
+    """(node, grp, name) of the classes that share a hub with another class; name is the hash of one of its texts."""
+    edges = classes.where("hubs is not null").select(F.explode("hubs").alias("a"), F.col("node").alias("b")).distinct()
+    groups = common.connected_components(edges).toDF("node", "grp")
+    known = groups.join(classes.where("hubs is not null").groupBy("node").agg(F.min("name").alias("name")), "node")
+    several = known.groupBy("grp").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("grp")
+    return common.materialize(known.join(several, "grp").select("node", "grp", "name"), "groups")
+
+
+def shingles(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, node, n, toks): the sets of the classes in groups, cut from the texts once more."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(groups.select("name"), WANTED_BITS))
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            nodes, toks = [], []
-            for node, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "toks"))):
-                p = prefix(unpack(t), n, shared.value)
-                nodes.append(np.full(len(p), node))
-                toks.append(p.view(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(nodes))], ["a", "b"])
+            batch = batch.filter(pa.array(_marked(batch.column(2), wanted.value)))
+            for part in common.chunks(common.binary(batch.column(1)), lambda t: len(t or b"")):
+                g, n = shingle_sets([t or b"" for t in part])
+                node, stop = set_digests(g, n).view(np.int64), np.cumsum(n)
+                own = []
+                for k in np.flatnonzero(n):
+                    if node[k] not in seen:
+                        seen.add(node[k])
+                        own.append(k)
+                for low in range(0, len(own), 64):
+                    some = own[low : low + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), pa.array([pack(g[stop[k] - n[k] : stop[k]]) for k in some], pa.binary())], ["node", "n", "toks"])
+
+    cut = _named(docs).mapInArrow(run, "node long, n long, toks binary")
+    return cut.join(groups.select("node", "grp"), "node").dropDuplicates(["node"]).select("grp", "node", "n", "toks")
+
+
+def grouped_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(grp, node, n, toks): the sets of the classes that may have partners, by the group that holds these."""
+    loose = coarse_groups(classes)
+    sets = common.materialize(shingles(docs, loose), "sets")
+    again = meet_again(sets)
+    groups = coarse_groups(again)
+    out = common.materialize(sets.drop("grp").join(groups.select("node", "grp"), "node").select("grp", "node", "n", "toks"), "grouped")
+    common.discard(loose, sets, again, groups)
+    common.release_shuffles(docs.sparkSession)
+    return out
 
-    posts = sets.mapInArrow(run, "a long, b long")
-    hubs = posts.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("far"), F.count(F.lit(1)).alias("n")).where("m < far").select("a", "m", "n")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    edges = common.beside_least(posts, hubs, total // 4).where("b <> m").selectExpr("b a", "m b").distinct()
-    return common.connected_components(edges).toDF("node", "grp")
+
+def class_table(docs: DataFrame) -> DataFrame:
+    """(node, n, ids, grp, toks): the classes of each block; with group and shingles where they may have partners."""
+    classes = classes_of(docs)
+    return classes.select("node", "n", "ids").join(grouped_sets(docs, classes).select("node", "grp", "toks"), "node", "left")
 
 
 # T-occurrence search ---------------------------------------------------------------------------------
@@ -500,22 +598,25 @@ def _rest(member: DataFrame, links: DataFrame) -> DataFrame:
     left = common.materialize(where.join(most, "grp").where("component <> main").select("grp", "node", "size"), "left")
     asks = left.groupBy("grp").agg(_blocks(F.sum("size")).alias("asks"))
     every = _cut(member.drop("parts", "part"), small=False).join(asks, "grp")  # groups that are one component are done
-    index = every.select("grp", "node", "n", "toks", F.lit(False).alias("ask"), "part", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("i"))
-    ask = every.join(left.select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")).cast("int").alias("i"))
-    found = common.materialize(index.unionByName(ask).groupBy("grp", "i", "part").applyInArrow(_search_pairs, _FOUND).select("a", "b"), "rest")
+    of = F.pmod(F.xxhash64("node", F.lit(2)), F.col("asks")).cast("int").alias("i")
+    ask = every.join(left.select("grp", "node"), ["grp", "node"], "left_semi").select("grp", "node", "n", "toks", F.lit(True).alias("ask"), "parts", of)
+    found = []
+    for low in range(0, asks.agg(F.max("asks")).first()[0] or 0, ASKS):  # the group is sent ASKS times at once
+        some = F.sequence(F.lit(low), F.least(F.col("asks"), F.lit(low + ASKS)) - 1)
+        index = every.where(F.col("asks") > low).select("grp", "node", "n", "toks", F.lit(False).alias("ask"), "part", F.explode(some).alias("i"))
+        queries = ask.where(F.col("i").between(low, low + ASKS - 1)).select("grp", "node", "n", "toks", "ask", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "i")
+        found.append(common.materialize(index.unionByName(queries).groupBy("grp", "i", "part").applyInArrow(_search_pairs, _FOUND).select("a", "b"), "rest"))
     common.discard(left)
     common.release_shuffles(spark)
-    return found
+    return reduce(DataFrame.unionByName, found) if found else links.where("false")
 
 
-def class_links(classes: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect all classes that similarity connects."""
-    sets = classes.where("toks is not null")
-    groups = coarse_groups(sets.select("node", "n", "toks"))
-    # blocks may hold the same class: one of them gives its shingles
-    chosen = groups.join(sets.groupBy("node").agg(F.min("block").alias("block")), "node")
-    member = common.materialize(_cut(sets.select("node", "block", "n", "toks").join(chosen, ["node", "block"]).select("grp", "node", "n", "toks")), "members")
-    common.release_shuffles(classes.sparkSession)
+    sets = grouped_sets(docs, classes)
+    member = common.materialize(_cut(sets), "members")
+    common.discard(sets)
+    common.release_shuffles(docs.sparkSession)
     links = _rounds(member)
     large = member.where("parts > 1")
     if large.limit(1).count():
@@ -526,8 +627,9 @@ def class_links(classes: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame) -> DataFrame:
     """(node, n, ids, component_id) of the classes of each block."""
-    classes = class_table(docs)
-    parts = common.connected_components(class_links(classes))
+    docs = common.read_from_files(docs.select("doc_id", "text"))  # texts are read twice
+    classes = classes_of(docs)
+    parts = common.connected_components(class_links(docs, classes))
     least = classes.where("node is not null").groupBy("node").agg(F.min(F.array_min("ids")).alias("least"))
     named = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the least id of a component, over its classes; then back to the classes

@@ -130,6 +130,54 @@ def test_shingles_take_as_many_bytes_in_many_buckets(monkeypatch):
     assert size[1] <= 1.1 * size[0] and size[1] < 12 * 500 * 60
 
 
+def test_half_of_the_shingles_move(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    monkeypatch.setattr(jaccard_join, "TaskContext", Task)
+    block = jaccard_join._Block(4, 1)
+    block.add(list(range(500)), [b" ".join(b"%d-%d" % (k, i) for i in range(64)) for k in range(500)], [False] * 500)
+    rows = block.rows().to_pylist()
+    assert sum(len(r["a"]) // 8 for r in rows if r["kind"] == 2) == 500 * 30
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_partners_keep_a_hub(whole):
+    """Of all pairs that link, and however many shingles they share with others; chance alone keeps none."""
+    rng = np.random.default_rng(6)
+    common_ones = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = []
+    for group in range(60):
+        base = rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)
+        for _ in range(rng.integers(1, 6)):
+            own = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.12])]
+            more = rng.choice(common_ones, len(base) // rng.integers(6, 40))
+            sets.append(np.unique(np.concatenate([own, more, rng.integers(0, 2**63, len(base) // 20 + 1, dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    g, size = (np.concatenate(sets), n) if whole else jaccard_join.prefixes(np.concatenate(sets), n)
+    at, label, least, times = np.repeat(np.arange(len(n)), size), rng.permutation(len(n)), {}, Counter(g.tolist())
+    for k, t in zip(at, g.tolist()):
+        least[t] = min(least.get(t, len(n)), label[k])
+    some = np.array([times[t] > 1 for t in g.tolist()])
+    own, hub = jaccard_join.heavy_hubs(at[some], np.array([least[t] for t in g.tolist()])[some], n, whole)
+    kept = [set(hub[own == k].tolist()) for k in range(len(n))]
+    links = [(j, k) for k in range(len(n)) for j in range(k) if 7 * len(np.intersect1d(sets[j], sets[k])) >= 3 * (n[j] + n[k])]
+    assert len(links) > 30 and all(kept[j] & kept[k] for j, k in links)
+    assert sum(map(len, kept)) < 0.1 * some.sum()
+
+
+def test_chance_does_not_join_groups(spark, monkeypatch):
+    """Pairs of near copies in a chain: each has a phrase in common with the next; searched apart, by few queries at a time."""
+    monkeypatch.setattr(jaccard_join, "ASKS", 1)
+    say = lambda k: " ".join(f"s{k}w{i}" for i in range(80)) + f" this phrase joins {k} and {k} then this phrase joins {k + 1} and {k + 1}"
+    docs = list(enumerate([t for k in range(40) for t in (say(k), say(k) + " end")]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    groups = jaccard_join.class_table(df).where("toks is not null").groupBy("grp").count().collect()
+    assert sorted(r["count"] for r in groups) == [2] * 40
+    assert sorted(map(tuple, jaccard_join.components(df).collect())) == brute_jaccard(docs)
+
+
 def test_materialize_leaves_no_shuffle_files(spark):
     manager = spark._jsc.sc().env().blockManager().diskBlockManager()
     files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
