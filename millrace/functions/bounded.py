@@ -5,9 +5,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 class Bounded:
-    """The size greatest items by key; of equal ones those that came first. Over tables use row_number instead."""
+    """The size greatest items by key; of equal ones those that came first. Over tables see greatest()."""
 
     def __init__(self, size: int, key: Callable = lambda x: x):
         self.size, self.key, self._heap, self._n = size, key, [], 0
@@ -35,3 +39,24 @@ class Bounded:
 
     def clear(self) -> None:
         self._heap.clear()
+
+
+def greatest(batches: Iterable[pa.RecordBatch], size: int, key: str, place: str, value: str) -> Iterator[pa.RecordBatch]:
+    """Of each batch the rows that no queue of size rows of their key leaves out: greatest value first, then least place.
+
+    NaN is the greatest value, null the least of all. One sort of the batch holds the queues of all its keys; the queues
+    of several batches or tasks still have to be merged, by row_number.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        rank = pc.rank(batch.column(value), sort_keys="descending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+        # null is NaN in numpy, too
+        nan = np.isnan(batch.column(value).to_numpy(zero_copy_only=False).astype(float))
+        rank[nan & batch.column(value).is_valid().to_numpy(zero_copy_only=False)] = 0
+        second = pc.rank(batch.column(place), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((second, rank, code))
+        c = code[order]
+        first = np.searchsorted(c, c)
+        yield batch.take(pa.array(np.sort(order[np.arange(len(c)) - first < size])))

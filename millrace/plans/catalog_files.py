@@ -12,7 +12,7 @@ import tempfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,13 +194,11 @@ def fast_hash(spark, d):
 
 @query("SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3)")
 def bounded_top(spark, d):
-    """Three greatest orders of each customer by the bounded queue, one customer's rows of a batch at a time."""
-
-    def top(rows):
-        best = bounded.Bounded(3, lambda r: (r[2], -r[1])).extend(zip(*(rows[c] for c in ("o_custkey", "o_orderkey", "o_totalprice"))))
-        return rows.iloc[:0] if not len(best) else type(rows)(list(best), columns=["o_custkey", "o_orderkey", "o_totalprice"])
-
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(top, "o_custkey long, o_orderkey long, o_totalprice double")
+    """Three greatest orders of each customer: bounded queues over the rows of a task, then row_number over what they keep."""
+    names = ["o_custkey", "o_orderkey", "o_totalprice"]
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long"), F.col("o_totalprice").cast("double"))
+    best = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return o.mapInArrow(lambda batches: bounded.greatest(batches, 3, *names), o.schema).withColumn("place", F.row_number().over(best)).where("place <= 3").select(names)
 
 
 @query("SELECT * FROM (VALUES (0, 'click', 'Base', true), (1, 'purchase', 'Derived', true), (2, 'error', 'Base', false)) t(place, attribute, kind, active)")

@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,15 @@ def test_bounded():
     assert list(queue) == ["ffff", "bbb", "ddd"] and len(queue) == 3
     queue.clear()
     assert list(queue) == [] and list(bounded.Bounded(0).add(1)) == []
+
+
+def test_greatest_of_a_batch_without_a_call_for_each_key():
+    rows = [(k % 7 if k % 11 else None, k, float(k * 37 % 10)) for k in range(300)] + [(1, 500, math.nan), (1, 501, None), (9, 502, None), (9, 503, math.nan), (9, None, 5.0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip("kpv", r)) for r in rows], pa.schema([("k", pa.int64()), ("p", pa.int64()), ("v", pa.float64())]))
+    got = [tuple(r.values()) for b in bounded.greatest([batch, batch.slice(0, 0)], 3, "k", "p", "v") for r in b.to_pylist()]
+    value = lambda v: -math.inf if v is None else math.inf if math.isnan(v) else v
+    want = {}
+    for r in rows:
+        want.setdefault(r[0], []).append(r)
+    want = [r for own in want.values() for r in bounded.Bounded(3, lambda r: (value(r[2]), -(-1 if r[1] is None else r[1]))).extend(own)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 27
